@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+_shipped: set[str] = set()
+
+
+def ship(sc: SparkContext) -> None:
+    """Sends this package to the Python workers, once for each application; they may not have it on their path."""
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent.parent
+    at = Path(tempfile.mkdtemp(prefix="ledgerframe-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(at, "w") as out:
+        for p in sorted(package.rglob("*.py")):
+            out.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(at))
+    atexit.register(shutil.rmtree, at.parent, ignore_errors=True)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession.sparkContext)
+    return df.mapInArrow(run, schema)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -43,4 +72,4 @@ def add_by_arrow(docs: DataFrame, fields: list[T.StructField], compute: Callable
                 made = [a if a.type == f.type else a.cast(f.type) for a, f in zip(compute(batch), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in positions], *made], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

@@ -1,6 +1,6 @@
 """Queries of this subpackage for the driver, and the SQL of those that SQL can express."""
 
-from . import decontamination, exact_dedup, mixing, sharding
+from . import decontamination, exact_dedup, mixing, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -9,6 +9,7 @@ QUERIES = {
         exact_dedup.op2_chunk_recipe_dedup,
         decontamination.op3_ngram_decontamination,
         mixing.op6_pareto_mixing,
+        toxicity.op10_compression_toxicity,
     )
 }
 ORACLES = {
