@@ -1,6 +1,6 @@
 """Queries of this subpackage for the driver, and the SQL of those that SQL can express."""
 
-from . import decontamination, exact_dedup, mixing, sharding, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, mixing, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -8,7 +8,9 @@ QUERIES = {
         sharding.op1_extendible_sharding,
         exact_dedup.op2_chunk_recipe_dedup,
         decontamination.op3_ngram_decontamination,
+        language_id.op4_backoff_language_id,
         mixing.op6_pareto_mixing,
+        line_dedup.op7_cuckoo_line_dedup,
         toxicity.op10_compression_toxicity,
     )
 }
@@ -17,4 +19,5 @@ ORACLES = {
     "op2_chunk_recipe_dedup": exact_dedup.ORACLE,
     "op3_ngram_decontamination": decontamination.ORACLE,
     "op6_pareto_mixing": mixing.ORACLE,
+    "op7_cuckoo_line_dedup": line_dedup.ORACLE,
 }
