@@ -1,6 +1,6 @@
 """Queries of this subpackage for the driver, and the SQL of those that SQL can express."""
 
-from . import decontamination, exact_dedup, language_id, line_dedup, mixing, sharding, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -9,6 +9,7 @@ QUERIES = {
         exact_dedup.op2_chunk_recipe_dedup,
         decontamination.op3_ngram_decontamination,
         language_id.op4_backoff_language_id,
+        ngram_join.op5_chosen_path_join,
         mixing.op6_pareto_mixing,
         line_dedup.op7_cuckoo_line_dedup,
         toxicity.op10_compression_toxicity,
