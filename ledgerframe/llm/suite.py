@@ -1,6 +1,6 @@
 """Queries of this subpackage for the driver, and the SQL of those that SQL can express."""
 
-from . import decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, sharding, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, pii, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,8 @@ QUERIES = {
         ngram_join.op5_chosen_path_join,
         mixing.op6_pareto_mixing,
         line_dedup.op7_cuckoo_line_dedup,
+        lm_scoring.op8_log_bilinear_scores,
+        pii.op9_semi_markov_pii,
         toxicity.op10_compression_toxicity,
     )
 }
