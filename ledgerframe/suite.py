@@ -1,6 +1,8 @@
-"""Queries for the driver over its relational tables, and their SQL."""
+"""All queries of the library by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import relational
+
+QUERIES = dict(relational.QUERIES)
+ORACLES = dict(relational.ORACLES)
