@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import add_by_arrow
+from .frames import add_by_arrow, shielded
 from .storage import materialize
 from .tokens import ALNUM, buffers, lowered, windows, words
 
@@ -173,9 +173,12 @@ def _merged(column: pa.Array, new: list, old: list) -> tuple[list, np.ndarray]:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, whole_documents: bool = True, **options) -> DataFrame:
     """``docs`` without documents that hold a benchmark window, or with just the hit passages cut out of ``text``."""
-    found = find_contamination(docs, benchmark, **options)
     if whole_documents:
-        return found.filter("n_hit = 0").select(docs.columns)
+        return shielded(docs, lambda own: find_contamination(own, benchmark, **options).filter("n_hit = 0"))
+    return shielded(docs, lambda own: _cut(find_contamination(own, benchmark, **options)))
+
+
+def _cut(found: DataFrame) -> DataFrame:
     at, spans = found.schema.names.index("text"), found.schema.names.index("spans")
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -190,7 +193,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, whole_documents:
             out.append(text)
         return [pa.array(out, pa.string())]
 
-    return add_by_arrow(found, [T.StructField("text", T.StringType())], compute, drop=("n_words", "n_hit", "item_ids", "spans")).select(docs.columns)
+    return add_by_arrow(found, [T.StructField("text", T.StringType())], compute)
 
 
 def op3_ngram_decontamination(spark, sf_dir: str) -> DataFrame:

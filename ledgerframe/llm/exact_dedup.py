@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import put, text_or_empty
+from .frames import put, shielded, text_or_empty
 from .storage import materialize
 
 #: Lengths of a chunk in characters, and the places where it may end.
@@ -78,8 +78,7 @@ def mark_duplicates(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxha
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts."""
-    marked = mark_duplicates(docs)
-    return marked.filter("kept").dropDuplicates(["doc_id", "text_sha256"]).select(docs.columns)
+    return shielded(docs, lambda own: mark_duplicates(own).filter("kept").dropDuplicates(["doc_id", "text_sha256"]))
 
 
 def op2_chunk_recipe_dedup(spark, sf_dir: str) -> DataFrame:

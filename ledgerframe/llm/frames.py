@@ -50,6 +50,14 @@ def put(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(*kept, *[v.alias(k) for k, v in columns.items()])
 
 
+def shielded(docs: DataFrame, apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``apply`` for filters that return the columns of ``docs``: all but the key columns pass under other names, so that
+    no result column of the operator takes the place of one of them."""
+    away = {c: f"_in_{c}" for c in docs.columns if c not in ("doc_id", "text", "source", "lang")}
+    out = apply(docs.withColumnsRenamed(away))
+    return out.select(*[F.col(f"`{away.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import put, text_or_empty
+from .frames import put, shielded, text_or_empty
 from .storage import materialize
 
 #: Weights dealt to the sources by code point order, null last, and repeated.
@@ -119,10 +119,10 @@ def _cuts(units: DataFrame, goal: DataFrame, slices: int, ordered: int) -> DataF
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    taken = mix(docs, **options).filter("copies > 0")
-    if set(docs.columns) & {"size", "source_size", "target", "copies", "taken"}:
-        raise ValueError("rename input columns called size, source_size, target, copies or taken")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    def copied(own: DataFrame) -> DataFrame:
+        return mix(own, **options).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+
+    return shielded(docs, copied)
 
 
 def op6_pareto_mixing(spark, sf_dir: str) -> DataFrame:

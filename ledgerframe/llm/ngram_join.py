@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .frames import add_by_arrow, map_arrow, put, text_or_empty
+from .frames import add_by_arrow, map_arrow, put, shielded, text_or_empty
 from .storage import discard, materialize
 from .tokens import ALNUM, mix, windows, words
 
@@ -299,10 +299,11 @@ def find_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of every group: the one with the least doc_id; rows that repeat that id and text count as one."""
-    if {"class_id", "n_copies", "n_links", "n_linked_sets"} & set(docs.columns):
-        raise ValueError("rename input columns called class_id, n_copies, n_links or n_linked_sets")
-    found = find_near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return found.withColumn("_text", F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    def first_of_each(own: DataFrame) -> DataFrame:
+        found = find_near_duplicates(own, **options).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+        return found.withColumn("_text", F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", "_text"])
+
+    return shielded(docs, first_of_each)
 
 
 def op5_chosen_path_join(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import add_by_arrow
+from .frames import add_by_arrow, shielded
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, SURE, LONGEST, REACH = 2000, 0.9, 16, 48
@@ -361,7 +361,10 @@ def find_pii(docs: DataFrame, field: Field) -> DataFrame:
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in angle brackets; overlapping spans are one."""
-    found = find_pii(docs, field)
+    return shielded(docs, lambda own: _redacted(find_pii(own, field)))
+
+
+def _redacted(found: DataFrame) -> DataFrame:
     at, spans = found.schema.names.index("text"), found.schema.names.index("all_spans")
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -377,7 +380,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
             out.append(text)
         return [pa.array(out, pa.string())]
 
-    return add_by_arrow(found, [T.StructField("text", T.StringType())], compute, drop=("base_spans", "all_spans")).select(docs.columns)
+    return add_by_arrow(found, [T.StructField("text", T.StringType())], compute)
 
 
 def _said(spans: str):

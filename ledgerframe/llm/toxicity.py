@@ -13,7 +13,8 @@ The sample for fitting has at most ``SAMPLE`` documents of each label of at most
 whole text.
 
 Defined results: null and empty texts get the score of a text without any saving; several labels of an id count as
-toxic if one is; without labels of both kinds every score is the share of toxic labels (0 without labels); an empty
+toxic if one is; without labels of both kinds, or if
+nothing sets them apart, every score is the share of toxic labels (0 without labels) and the filter drops nothing; an empty
 table gives an empty result; input columns named like a result column are replaced.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import add_by_arrow, map_arrow, remainder
+from .frames import add_by_arrow, map_arrow, remainder, shielded
 from .tokens import ALNUM, buffers, words
 
 SAMPLE, SAMPLE_BYTES = 3000, 1 << 20
@@ -102,8 +103,8 @@ def _grams(window: bytes) -> list[bytes]:
     return [x[i : i + _GRAM] for i in range(len(x) - _GRAM + 1)]
 
 
-def train_distance(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Distance:
-    """Dictionaries from the window sets of toxic and of ordinary documents."""
+def train_distance(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Distance | None:
+    """Dictionaries from the window sets of toxic and of ordinary documents; null if nothing sets them apart."""
     n, m = len(toxic), len(ordinary)
     bad, good, seen, plain = Counter(), Counter(), Counter(), Counter()
     for grams, said, docs in ((bad, seen, toxic), (good, plain, ordinary)):
@@ -152,6 +153,8 @@ def train_distance(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Dista
         chosen.append(s)
         for i in range(len(s) - _GRAM + 1):
             weight.pop(s[i : i + _GRAM], None)
+    if not chosen:
+        return None
     extra = b"\n".join(reversed(chosen))
     common = sorted(plain, key=lambda w: (-plain[w], w))
 
@@ -294,6 +297,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not bad or not good:
         return Model(None, np.array([counts[1] / total]))
     distance = train_distance(bad, good)
+    if distance is None:
+        return Model(None, np.array([counts[1] / total]))
     every = sorted(set().union(*(r[2] for r in held)))
     saved = dict(zip(every, distance(every).tolist(), strict=True))
     features = np.array([_features([saved[w] for w in r[2]], len(r[2])) for r in held])
@@ -312,6 +317,13 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return add_by_arrow(docs, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], compute)
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the documents predicted toxic; all of them where the labels gave no model to tell them apart."""
+    if model.distance is None:
+        return docs
+    return shielded(docs, lambda own: score(own, model, threshold).filter("predicted = 0"))
+
+
 def op10_compression_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
