@@ -14,5 +14,5 @@ SETTINGS = {
 
 
 def session(master: str = "local[*]", partitions: int = 8, **more: str) -> SparkSession:
-    settings = SETTINGS | {"spark.sql.shuffle.partitions": str(partitions), "spark.ui.enabled": "false", "spark.driver.memory": "8g"} | more
+    settings = SETTINGS | {"spark.sql.shuffle.partitions": str(partitions), "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"} | more
     return SparkSession.builder.master(master).appName("ledgerframe").config(map=settings).getOrCreate()

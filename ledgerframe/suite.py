@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import relational
+from .plans import relational, synthetic  # noqa: F401  synthetic adds its queries to those of relational
 
 QUERIES = dict(relational.QUERIES)
 ORACLES = dict(relational.ORACLES)
