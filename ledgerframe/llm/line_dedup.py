@@ -191,8 +191,9 @@ class LineIndex:
         if asked is None:
             return _without(put(tagged, _lines=F.array().cast("array<int>")))
         true = asked.join(self.frequent.select("key"), "key", "left_semi")
-        # texts that are equal lose the same lines; hot keys were summed before they meet
-        lines = true.groupBy("_text_key").agg(F.array_sort(F.collect_set("line")).alias("_lines")).withColumnRenamed("_text_key", "_text_key2")
+        # texts that are equal lose the same lines. The table is written, so that the join below has two plain exchanges and the
+        # copies of a frequent text can be split over tasks
+        lines = materialize(true.groupBy("_text_key").agg(F.array_sort(F.collect_set("line")).alias("_lines")).withColumnRenamed("_text_key", "_text_key2"), "lines")
         return _without(tagged.join(lines, F.col("_text_key") == F.col("_text_key2"), "left").drop("_text_key2"))
 
 
