@@ -6,7 +6,7 @@ as dictionary trainers choose segments), the ordinary one as many more ordinary
 dictionary shortens more are found in the training documents and put into both, for a few rounds. A document is read in
 windows of one word with its blanks (words of over 48 bytes in overlapping pieces); a window is compressed with either
 dictionary after a fixed lead that both end with, so that very short windows still give exact lengths. How many bytes
-the toxic dictionary saves in the best and second best window decides, through thresholds and weights calibrated on
+the toxic dictionary saves in the four best windows decides, through thresholds and weights calibrated on
 labelled documents that trained no dictionary.
 
 The sample for fitting has at most ``SAMPLE`` documents of each label of at most ``SAMPLE_BYTES``; scoring reads every
@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 from .frames import add_by_arrow, map_arrow, remainder, shielded
 from .tokens import ALNUM, buffers, words
 
-SAMPLE, SAMPLE_BYTES = 3000, 1 << 20
-BODY_BYTES, TOXIC_BYTES, ROUNDS = 32 << 10, 4 << 10, 4
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 20
+BODY_BYTES, TOXIC_BYTES, ROUNDS = 64 << 10, 4 << 10, 6
 THRESHOLD = 0.3
 _GRAM, _LONGEST, _OVERLAP, _CACHE = 5, 48, 16, 1 << 20
 #: Around every window: a lead both dictionaries end with, and a tail so long that the window's last bytes are searched too.
@@ -182,12 +182,12 @@ def train_distance(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Dista
 
 
 def _features(saved: list[int], n: int) -> list[float]:
-    top = sorted(saved, reverse=True)[:2] + [0, 0]
-    return [max(0, top[0]), max(0, top[1]), math.log1p(n)]
+    top = [max(0, s) for s in sorted(saved, reverse=True)[:4]] + [0] * 4
+    return [top[0], top[1], top[2] + top[3], math.log1p(n)]
 
 
 class Model:
-    """Distance, and the logistic weights on the two best savings and the number of windows."""
+    """Distance, and the logistic weights on the best savings and the number of windows."""
 
     def __init__(self, distance: Distance | None, weights: np.ndarray):
         self.distance, self.weights = distance, weights
@@ -210,7 +210,7 @@ class Model:
             self._keys, self._saved = np.zeros(_CACHE, np.uint64), np.zeros(_CACHE, np.int8)
         column = pc.utf8_lower(pc.fill_null(column, ""))
         data, _ = buffers(column)
-        features = np.zeros((len(column), 3))
+        features = np.zeros((len(column), 4))
         for w in words(column, ALNUM):
             if not len(w.hash):
                 continue
@@ -218,14 +218,13 @@ class Model:
             saved = self._lookup(unique, at, w, data)
             one = np.unique(w.doc * np.int64(len(unique)) + back)
             doc, which = one // len(unique), one % len(unique)
-            features[w.first : w.last, 2] = np.log1p(np.bincount(doc - w.first, minlength=w.last - w.first))
+            features[w.first : w.last, 3] = np.log1p(np.bincount(doc - w.first, minlength=w.last - w.first))
             found: dict[int, list[int]] = {}
             hit = saved[which] > 0
             for d, s in zip(doc[hit].tolist(), saved[which[hit]].tolist(), strict=True):
                 found.setdefault(d, []).append(s)
             for d, s in found.items():
-                top = sorted(s, reverse=True)[:2] + [0]
-                features[d, :2] = top[:2]
+                features[d, :3] = _features(s, 0)[:3]
         return self.probability(features)
 
     def _lookup(self, unique: np.ndarray, at: np.ndarray, w, data: np.ndarray) -> np.ndarray:
@@ -254,14 +253,14 @@ def calibrate(features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps with a small ridge; saved bytes never count against toxicity."""
     x = np.concatenate([np.ones((len(features), 1)), features], axis=1)
     w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3, 0.05, 0.05, 0.5])
+    ridge = np.diag([1e-3, 0.05, 0.05, 0.05, 0.05])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (toxic - p) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    w[1:3] = np.maximum(w[1:3], 0)
+    w[1:4] = np.maximum(w[1:4], 0)
     return w
 
 
