@@ -197,3 +197,18 @@ def to_json(df: DataFrame, pretty: bool = False) -> str:
 def stream(df: DataFrame):
     """Rows one after another, a partition at a time at the driver, as for a socket that drains all holders."""
     return df.toLocalIterator(prefetchPartitions=True)
+
+
+def action(actions: DataFrame, block: int, sequence: int) -> DataFrame:
+    """One action by its block and global sequence; the block filter reaches the source."""
+    return actions.filter((F.col("block_num") == block) & (F.col("global_sequence") == sequence))
+
+
+def block(actions: DataFrame, number: int) -> DataFrame:
+    """All actions of a block in their order."""
+    return actions.filter(F.col("block_num") == number).orderBy("tx_pos", "first_position")
+
+
+def health(blocks: DataFrame) -> DataFrame:
+    """First and last block that can be served."""
+    return blocks.agg(F.min("block_num").alias("first_block"), F.max("block_num").alias("last_block"), F.count("*").alias("blocks"))

@@ -63,3 +63,25 @@ class VersionedTable:
         self._fs.delete(self._pointer(), False)
         self._fs.rename(temp, self._pointer())
         return path
+
+
+def bulk_lines(df: DataFrame) -> DataFrame:
+    """The body of bulk requests, one row a document: the target line, the document, each on a line of its own. ``df`` has _index
+    and _id; writing the rows as text gives files a bulk endpoint takes as they are."""
+    target = F.to_json(F.struct(F.struct("_index", "_id").alias("index")))
+    document = F.to_json(F.struct(*[c for c in df.columns if c not in ("_index", "_id")]))
+    return df.select(F.concat(target, F.lit("\n"), document).alias("value"))
+
+
+class Refreshed:
+    """An aggregate kept as a versioned table and computed again once it is older than ``seconds``."""
+
+    def __init__(self, spark: SparkSession, root: str, compute, seconds: int = 300):
+        self.table, self.compute, self.seconds = VersionedTable(spark, root), compute, seconds
+
+    def read(self, now: float | None = None) -> DataFrame:
+        now = time.time() if now is None else now
+        current = self.table.current()
+        if current is None or now - current["at"] > self.seconds:
+            self.table.publish(self.compute(), at=now)
+        return self.table.read()

@@ -121,3 +121,18 @@ def test_versioned_table_and_sinks(spark, tmp_path):
     assert {r.k: r.v for r in sinks.first_of_each(d, ["k"], "pos").collect()} == {1: "y", 2: "z"}
     sinks.write_sorted(d, str(tmp_path / "s"), ["k"], 2)
     assert spark.read.parquet(str(tmp_path / "s")).count() == 3
+
+
+def test_bulk_lines_and_refreshed_counts(spark, tmp_path):
+    from ledgerframe.sources import sinks
+
+    d = sinks.bulk_ids(spark.createDataFrame([(5, "a")], "block long, k string"), "wax", "delta", "block", 10, ["block", "k"])
+    assert sinks.bulk_lines(d).first().value == '{"index":{"_index":"wax-delta-000001","_id":"5-a"}}\n{"block":5,"k":"a"}'
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    kept = sinks.Refreshed(spark, str(tmp_path / "r"), compute, seconds=300)
+    assert kept.read(1000.0).count() == 1 and kept.read(1200.0).count() == 1 and kept.read(1400.0).count() == 2 and len(calls) == 2
