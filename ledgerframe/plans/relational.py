@@ -7,12 +7,14 @@ actions; sign-ups are interface versions and clicks the rows decoded with them;
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import asof, grouping, lookups, overlay, ranking
+from ..shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +22,12 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            ship(spark)
+            return f(spark, d)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f

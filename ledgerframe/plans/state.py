@@ -15,6 +15,7 @@ from ..codec import abi as abi_codec
 from ..codec import attributes
 from ..functions.columns import parse_asset
 from ..operators.asof import asof_join
+from ..shipping import ship
 
 #: Named groups of tables a user may ask for.
 PRESETS = {
@@ -73,6 +74,7 @@ def token_contracts(versions: DataFrame) -> DataFrame:
             keep = [abi_codec.is_token_contract(abi_codec.parsed(x) if x else None) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep))], names=["code"])
 
+    ship(versions.sparkSession)
     return versions.select("account", "abi").mapInArrow(run, "code string")
 
 
@@ -148,6 +150,7 @@ def transactions_in(proposals_: DataFrame, versions: DataFrame) -> DataFrame:
             accounts = [sorted({a["account"] for a in t["actions"]}) if t else [] for t in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([json.dumps(t) if t else None for t in found], pa.string()), pa.array(accounts, pa.list_(pa.string()))], names=["proposer", "proposal_name", "raw", "accounts"])
 
+    ship(proposals_.sparkSession)
     heads = proposals_.select("proposer", "proposal_name", "packed_transaction").mapInArrow(head, "proposer string, proposal_name string, raw string, accounts array<string>")
     used = heads.select("proposer", "proposal_name", F.explode("accounts").alias("account")).join(versions.select("account", "abi"), "account").groupBy("proposer", "proposal_name").agg(F.collect_list(F.struct("account", "abi")).alias("abis"))
 
@@ -233,6 +236,7 @@ def decode_attributes(df: DataFrame, blobs: dict[str, str], format_: str = "form
             made = [pa.array([json.dumps(attributes.decode_or_empty(x, f)) for x, f in zip(b.column(s).to_pylist(), formats, strict=True)], pa.string()) for s in sources]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in own], *made], schema=arrow)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..codec import history, snapshot
+from ..shipping import ship
 
 
 def open_file(path: str):
@@ -280,6 +281,7 @@ def _snapshot_source(kind_: str) -> type[DataSource]:
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     for source in (ShipLog, BlockLog, *map(_snapshot_source, _SNAPSHOT)):
         spark.dataSource.register(source)
 
