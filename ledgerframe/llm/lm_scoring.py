@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +30,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .frames import map_arrow, put, remainder, ship, text_or_empty
 from .storage import materialize
-from .tokens import BLANK, mix, words
+from .tokens import BLANK, words
 
 WORDS, WIDTH, ROUNDS, BATCH, NOISE, RATE = 1024, 24, 2, 4096, 64, 0.3
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, FAN = 16 << 20, 64
 #: The end token's key; no word hashes are compared with it on purpose.
 END = np.uint64(0xE4D0F7E8)
 
@@ -132,9 +133,11 @@ def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 
 
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with _block: about ``block_bytes`` of text each, by a hash of id and text."""
+    """``docs`` with _block: at most about ``block_bytes`` of text each, by a hash of id and text, and no fewer blocks than keep
+    all cores busy."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_or_empty())), F.lit(0))).first()[0]
-    return put(docs, _block=F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // block_bytes)))).cast("int"))
+    blocks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // block_bytes))
+    return put(docs, _block=F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
 
 def block_tokens(docs: DataFrame) -> DataFrame:
@@ -200,15 +203,18 @@ def train(counts: Counts, rounds: int = ROUNDS) -> Network:
             n = own.train(parts(), seed=turn)
             if n:
                 delta = ((own.flat() - flat).astype(np.float64) * n).astype(np.float32)
-                yield _row(int(mix(np.array([n], np.uint64))[0] % np.uint64(64)), n, delta)
+                yield _row(TaskContext.get().partitionId(), n, delta)
 
         def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("delta").to_pylist())
-            return pa.Table.from_batches([_row(0, sum(table.column("n").to_pylist()), total.astype(np.float32))])
+            return pa.Table.from_batches([_row(key[0].as_py(), sum(table.column("n").to_pylist()), total.astype(np.float32))])
 
         schema = "part int, n long, delta binary"
-        sums = map_arrow(texts, learn, schema).groupBy("part").applyInArrow(add, schema)
-        sums = sums.withColumn("part", F.col("part") * 0).groupBy("part").applyInArrow(add, schema).collect()
+        sums, wide = map_arrow(texts, learn, schema), max(2, texts.rdd.getNumPartitions())
+        while wide > 1:  # a tree of sums: no task adds more than FAN parameter sets
+            sums = sums.withColumn("part", F.expr(f"part div {FAN}").cast("int")).groupBy("part").applyInArrow(add, schema)
+            wide = -(-wide // FAN)
+        sums = sums.collect()
         if sums:
             net.set_flat((net.flat() + np.frombuffer(sums[0].delta, np.float32)[:size] / sums[0].n).astype(np.float32))
         shared.unpersist()
