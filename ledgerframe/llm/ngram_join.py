@@ -95,7 +95,8 @@ def _leaves(classes: DataFrame, runs: int, levels: int, bucket: int) -> DataFram
     done = None
     for d in range(1, levels + 1):
         key = f"k{d}"
-        counts = rows.groupBy("run", key).agg(F.count("*").alias("n"), F.sum("_size").alias("shingles")).filter("n > 1")
+        # written first, so that the join has two plain exchanges and the rows of a large bucket can be split over tasks
+        counts = materialize(rows.groupBy("run", key).agg(F.count("*").alias("n"), F.sum("_size").alias("shingles")).filter("n > 1"), "counts")
         met = materialize(rows.join(counts, ["run", key]), "buckets")
         ended = met if d == levels else met.filter(F.col("n") <= bucket)
         ended = ended.select("_set", "run", F.col(key).alias("leaf"), "n", "shingles")
@@ -116,7 +117,7 @@ def _tasks(leaves: DataFrame, runs: int, block: int, block_shingles: int) -> Dat
     for r in range(runs - 1):
         seen = seen | ((F.col("run") > r) & (F.col(f"c{r}") == F.col("n")) & (F.col(f"a{r}") == F.col(f"b{r}")))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / block_shingles)).cast("int")
-    new = buckets.filter(~seen).select("run", "leaf", blocks.alias("blocks"))
+    new = materialize(buckets.filter(~seen).select("run", "leaf", blocks.alias("blocks")), "new_buckets")
     met = met.drop("n", "shingles").join(new, ["run", "leaf"])
     earlier = F.slice(F.array(*[F.coalesce(f"l{r}", F.lit(0)) for r in range(runs)]), F.lit(1), F.col("run"))
     own = F.pmod(F.xxhash64("_set"), F.col("blocks")).cast("int")
