@@ -344,6 +344,12 @@ def watermark_islands(spark, d):
     return grouping.contiguous_watermark(o, "s", "e")
 
 
+@query("WITH g AS (SELECT o_orderkey, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS island FROM orders) SELECT max(o_orderkey) AS watermark, count(*) AS ranges FROM g WHERE island = (SELECT min(island) FROM g)")
+def watermark_whole(spark, d):
+    """``watermark_islands`` over all orders."""
+    return grouping.contiguous_watermark(table(spark, d, "orders").select(F.col("o_orderkey").alias("s"), F.col("o_orderkey").alias("e")), "s", "e")
+
+
 def _events(spark, d):
     op = F.create_map(*[F.lit(x) for p in (("signup", "mint"), ("purchase", "transfer"), ("error", "burn"), ("view", "setdata")) for x in p])
     e = table(spark, d, "events").filter("event_type <> 'click'")

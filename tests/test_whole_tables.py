@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from ledgerframe import suite
+from ledgerframe.operators import grouping
 from tests.test_queries import TABLES, plain
 
 DATA = "/root/testdata/sf0.01"
@@ -36,3 +37,17 @@ def test_actions_of_all_orders(spark, duck):
     assert sum(int(r["n_receipts"]) for r in got) == duck.sql("select count(*) from lineitem").fetchall()[0][0]
     assert {r["amount"] == "None" for r in got if int(r["block_num"]) <= 40} == {True}
     assert {r["amount"] == "None" for r in got if int(r["block_num"]) > 40} == {False}
+
+
+def test_watermark_of_all_orders(spark, duck):
+    (got,) = rows(spark, duck, "watermark_whole")
+    assert (int(got["watermark"]), int(got["ranges"])) == duck.sql("select max(o_orderkey), count(*) from orders").fetchall()[0]
+
+
+def test_watermark_stops_at_planted_gaps(spark):
+    # strips of 8 starts: gaps inside the first strip, at an edge of strips, inside a later one, and none
+    for gap in (3, 7, 8, 19, 16, 99):
+        done = [k for k in range(40) if k != gap]
+        got = grouping.contiguous_watermark(spark.createDataFrame([(k, k) for k in done], "s long, e long"), "s", "e", width=8).first()
+        end = gap - 1 if gap < 40 else 39
+        assert (got.watermark, got.ranges) == (end, end + 1), gap
