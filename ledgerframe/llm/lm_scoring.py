@@ -4,12 +4,16 @@ Tokens are A-Z lower-cased words between white space, and one end for each text.
 made block by block: a block is about ``BLOCK_BYTES`` of documents by hash, it sends each of its distinct tokens once, and
 gets their corpus counts back for scoring; no table of all words has to fit anywhere.
 
-The network predicts one of the ``WORDS`` commonest words, ``other`` or ``end`` from the two tokens before: the context's
-representation is ``C1 r(w1) + C2 r(w2)``, the score of w is its product with ``q(w)`` plus a bias. Training reads all
-training documents; every partition runs noise-contrastive steps with noise from the unigram distribution, and the
-parameters are averaged by tokens after each round. One product of two exponentiated score tables then gives the exact
-normaliser of every context, so token log-probabilities are normalised. A token that is not among the commonest words has
-the probability of ``other`` times its share (count + 1) of all such tokens, with one share for unseen words.
+The vocabulary grows with the corpus: its ``WORDS + GROW * sqrt(tokens)`` commonest words are classes of their own, and all
+other words are dealt by hash over about a quarter as many classes, so every word tells as a context and as a target. A word of a
+hash class has the probability of its class times its share (count + 1) of that class, with one share for unseen words.
+
+The network scores a class after the two tokens before: the context's representation is ``C1 r(w1) + C2 r(w2)``, the score of
+w is its product with ``q(w)`` plus a bias. Classes are put in about sqrt(classes) groups by rank, and groups are scored in
+the same way. A token's probability is that of its group times that of its class among the group's classes; both are
+normalised exactly, so token log-probabilities are. Training reads all training documents; every partition runs
+noise-contrastive steps for classes and groups with noise from the unigram distribution, and the parameters are averaged by
+tokens after each round.
 
 Defined results: null and empty texts are one end; without training tokens every count is 0; repeated rows train and are
 scored each; an empty table gives an empty result; input columns named like a result column are replaced.
@@ -33,7 +37,8 @@ from .storage import materialize
 from .tokens import BLANK, words
 
 WORDS, WIDTH, ROUNDS, BATCH, NOISE, RATE = 1024, 24, 2, 4096, 64, 0.3
-BLOCK_BYTES, FAN = 16 << 20, 64
+GROW, CHUNK = 4, 1 << 15
+BLOCK_BYTES, FAN, FAN_BYTES = 16 << 20, 64, 128 << 20
 #: The end token's key; no word hashes are compared with it on purpose.
 END = np.uint64(0xE4D0F7E8)
 
@@ -50,18 +55,30 @@ def token_keys(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 
 class Network:
-    """Parameters of the log-bilinear model over ``keys`` (sorted), other (n) and end (n + 1); context n + 2 is a text's start."""
+    """Parameters of the log-bilinear model over ``keys`` (sorted), hash classes (n to n + hashed - 1) and end; the context after
+    end is a text's start."""
 
     def __init__(self, keys: np.ndarray, noise: np.ndarray, seed: int = 7):
-        v, rng = len(keys) + 2, np.random.default_rng(seed)
-        self.keys, self.noise = keys, noise
+        v, rng = len(noise), np.random.default_rng(seed)
+        self.keys, self.noise, self.hashed = keys, noise, v - len(keys) - 1
+        per = max(1, math.isqrt(v))
+        #: Classes by rank; group g has those from g * per on.
+        self.ranked = np.argsort(-noise, kind="stable")
+        self.group = np.empty(v, np.int64)
+        self.group[self.ranked] = np.arange(v) // per
+        self.at = np.empty(v, np.int64)
+        self.at[self.ranked] = np.arange(v) % per
+        self.per = per
+        self.group_noise = np.bincount(self.group, noise)
         self.r = rng.normal(0, 0.1, (v + 1, WIDTH)).astype(np.float32)
         self.q = rng.normal(0, 0.1, (v, WIDTH)).astype(np.float32)
         self.c = np.stack([np.eye(WIDTH, dtype=np.float32)] * 2)
         self.b = np.log(noise).astype(np.float32)
+        self.gq = rng.normal(0, 0.1, (len(self.group_noise), WIDTH)).astype(np.float32)
+        self.gb = np.log(self.group_noise).astype(np.float32)
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.r, self.q, self.c, self.b]
+        return [self.r, self.q, self.c, self.b, self.gq, self.gb]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parameters()])
@@ -74,62 +91,97 @@ class Network:
 
     def classes(self, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class of each token, and of the two before it."""
-        n = len(self.keys)
-        at = np.searchsorted(self.keys, key)
-        at[at == n] = 0
-        own = np.where(self.keys[at] == key, at, n) if n else np.zeros(len(key), np.int64)
-        own[key == END] = n + 1
+        n, end = len(self.keys), len(self.noise) - 1
+        own = n + (key & np.uint64(self.hashed - 1)).astype(np.int64)
+        if n:
+            at = np.searchsorted(self.keys, key)
+            at[at == n] = 0
+            own = np.where(self.keys[at] == key, at, own)
+        own[key == END] = end
         start = np.ones(len(doc), bool)
         start[1:] = doc[1:] != doc[:-1]
-        one = np.concatenate([[n + 2], own[:-1]]).astype(np.int64)
-        one[start] = n + 2
-        two = np.concatenate([[n + 2], one[:-1]]).astype(np.int64)
-        two[start] = n + 2
+        one = np.concatenate([[end + 1], own[:-1]]).astype(np.int64)
+        one[start] = end + 1
+        two = np.concatenate([[end + 1], one[:-1]]).astype(np.int64)
+        two[start] = end + 1
         return own, one, two
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int) -> int:
         """Noise-contrastive steps with Adagrad; returns the number of tokens."""
         rng, n = np.random.default_rng(seed), 0
-        squares = [np.full(p.shape, 1e-2, np.float32) for p in self.parameters()]
-        log_noise = np.log(self.noise * NOISE).astype(np.float32)
-        pick = np.cumsum(self.noise)
+        r2, q2, c2, b2, gq2, gb2 = (np.full(p.shape, 1e-2, np.float32) for p in self.parameters())
+        levels = [(q, b, qs, bs, np.log(p * NOISE).astype(np.float32), np.cumsum(p)) for q, b, qs, bs, p in ((self.q, self.b, q2, b2, self.noise), (self.gq, self.gb, gq2, gb2, self.group_noise))]
         for own, one, two in batches:
             for lo in range(0, len(own), BATCH):
                 w, a, b = own[lo : lo + BATCH], one[lo : lo + BATCH], two[lo : lo + BATCH]
-                k = np.minimum(np.searchsorted(pick, rng.random(NOISE)), len(pick) - 1)
-                ra, rb, qw, qk = self.r[a], self.r[b], self.q[w], self.q[k]
+                ra, rb = self.r[a], self.r[b]
                 h = ra @ self.c[0] + rb @ self.c[1]
-                good = 1 / (1 + np.exp(-np.clip((h * qw).sum(1) + self.b[w] - log_noise[w], -30, 30)))
-                bad = 1 / (1 + np.exp(-np.clip(h @ qk.T + self.b[k] - log_noise[k], -30, 30)))
-                good = ((1 - good) / len(w)).astype(np.float32)
-                bad = (bad / len(w)).astype(np.float32)
-                gh = good[:, None] * qw - bad @ qk
-                grads = [np.zeros_like(p) for p in self.parameters()]
-                _add_rows(grads[0], np.concatenate([a, b]), np.concatenate([gh @ self.c[0].T, gh @ self.c[1].T]))
-                _add_rows(grads[1], np.concatenate([w, k]), np.concatenate([good[:, None] * h, -(bad.T @ h)]))
-                grads[2][0], grads[2][1] = ra.T @ gh, rb.T @ gh
-                grads[3] += np.bincount(w, good, len(self.b)).astype(np.float32) - np.bincount(k, bad.sum(0), len(self.b)).astype(np.float32)
-                for p, g, s in zip(self.parameters(), grads, squares, strict=True):
-                    g *= math.sqrt(len(w))
-                    s += g * g
-                    p += RATE * 0.1 * g / np.sqrt(s)
+                gh = np.zeros_like(h)
+                size, steps = math.sqrt(len(w)), []
+                for t, (q, bias, qs, bs, log_noise, pick) in zip((w, self.group[w]), levels, strict=True):
+                    k = np.minimum(np.searchsorted(pick, rng.random(NOISE) * pick[-1]), len(pick) - 1)
+                    qw, qk = q[t], q[k]
+                    good = 1 / (1 + np.exp(-np.clip((h * qw).sum(1) + bias[t] - log_noise[t], -30, 30)))
+                    bad = 1 / (1 + np.exp(-np.clip(h @ qk.T + bias[k] - log_noise[k], -30, 30)))
+                    good = ((1 - good) / len(w)).astype(np.float32)
+                    bad = (bad / len(w)).astype(np.float32)
+                    gh += good[:, None] * qw - bad @ qk
+                    rows = np.concatenate([t, k])
+                    steps.append((q, qs, rows, np.concatenate([good[:, None] * h, -(bad.T @ h)])))
+                    steps.append((bias, bs, rows, np.concatenate([good, -bad.sum(0)])))
+                steps.append((self.r, r2, np.concatenate([a, b]), np.concatenate([gh @ self.c[0].T, gh @ self.c[1].T])))
+                g = np.stack([ra.T @ gh, rb.T @ gh]) * size
+                c2 += g * g
+                self.c += RATE * 0.1 * g / np.sqrt(c2)
+                for p, s, rows, values in steps:
+                    at, g = _by_row(rows, values * size)
+                    s[at] += g * g
+                    p[at] += RATE * 0.1 * g / np.sqrt(s[at])
                 n += len(w)
         return n
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores by first and by second context token, and the log normaliser of every pair of them."""
-        one = self.r.astype(float) @ self.c[0] @ self.q.T.astype(float) + self.b
-        two = self.r.astype(float) @ self.c[1] @ self.q.T.astype(float)
+        """Scores of the groups by first and by second context token, and the log normaliser of every pair of them; its size
+        is the square of the vocabulary's, so scoring does not use it."""
+        one = self.r.astype(float) @ self.c[0] @ self.gq.T.astype(float) + self.gb
+        two = self.r.astype(float) @ self.c[1] @ self.gq.T.astype(float)
         top1, top2 = one.max(1, keepdims=True), two.max(1, keepdims=True)
         z = np.log(np.exp(one - top1) @ np.exp(two - top2).T) + top1 + top2.T
         return one.astype(np.float32), two.astype(np.float32), z.astype(np.float32)
 
-
-def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    def log_p(self, own: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each class after its two tokens, exactly normalised."""
+        out = np.empty(len(own))
+        first, second = self.r @ self.c[0], self.r @ self.c[1]
+        for lo in range(0, len(own), CHUNK):
+            w = own[lo : lo + CHUNK]
+            h = first[one[lo : lo + CHUNK]] + second[two[lo : lo + CHUNK]]
+            group = self.group[w]
+            p = _log_share(h @ self.gq.T + self.gb, group)
+            order = np.argsort(group, kind="stable")
+            edges = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                rows = order[a:b]
+                g = group[rows[0]]
+                among = self.ranked[g * self.per : (g + 1) * self.per]
+                p[rows] += _log_share(h[rows] @ self.q[among].T + self.b[among], self.at[w[rows]])
+            out[lo : lo + CHUNK] = p
+        return out
+
+
+def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row at one column."""
+    scores -= scores.max(1, keepdims=True)
+    own = scores[np.arange(len(at)), at].astype(float)
+    return own - np.log(np.exp(scores, out=scores).sum(1, dtype=float))
+
+
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sums of their values."""
     order = np.argsort(rows, kind="stable")
     r = rows[order]
     at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    out[r[at]] += np.add.reduceat(values[order], at, axis=0)
+    return r[at], np.add.reduceat(values[order], at, axis=0)
 
 
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -163,21 +215,30 @@ def block_tokens(docs: DataFrame) -> DataFrame:
 class Counts:
     """Exact counts of training tokens, as a table by block of the tokens found there, with the corpus sums."""
 
-    def __init__(self, docs: DataFrame, train: Column, words_: int = WORDS, block_bytes: int = BLOCK_BYTES):
+    def __init__(self, docs: DataFrame, train: Column, words_: int | None = None, block_bytes: int = BLOCK_BYTES):
         self.docs = put(blocked(docs, block_bytes), _train=F.coalesce(train, F.lit(False)))
         self.per_block = materialize(block_tokens(self.docs), "block_tokens")
         self.counts = materialize(self.per_block.filter("n > 0").groupBy("token").agg(F.sum("n").alias("c")), "token_counts")
         n, v = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         self.tokens, self.distinct = int(n), int(v)
         end = int(END.view(np.int64))
+        words_ = WORDS + GROW * math.isqrt(self.tokens) if words_ is None else words_
         top = self.counts.filter(F.col("token") != end).orderBy(F.col("c").desc(), "token").limit(words_).collect()
         pairs = sorted((int(np.int64(r.token).view(np.uint64)), r.c) for r in top)
         self.keys = np.array([k for k, _ in pairs], np.uint64)
         known = np.array([c for _, c in pairs], float)
         ends = (self.counts.filter(F.col("token") == end).first() or [0, 0])[1]
-        self.other_tokens = self.tokens - int(known.sum()) - ends
-        self.other_distinct = self.distinct - len(pairs) - (1 if ends else 0)
-        mass = np.concatenate([known, [max(1.0, self.other_tokens)], [max(1.0, ends)]])
+        rest = self.distinct - len(pairs) - (1 if ends else 0)
+        self.hashed = 1 << (max(1, min(words_ // 4, rest // 8)).bit_length() - 1)
+        #: Training tokens and distinct words of each hash class: those of all words less those of the keys.
+        self.other_tokens, self.other_distinct = np.zeros(self.hashed, np.int64), np.zeros(self.hashed, np.int64)
+        by = self.counts.filter(F.col("token") != end).groupBy(F.col("token").bitwiseAND(F.lit(self.hashed - 1)).alias("h"))
+        for h, c, m in by.agg(F.sum("c"), F.count("*")).collect():
+            self.other_tokens[h], self.other_distinct[h] = c, m
+        at = (self.keys & np.uint64(self.hashed - 1)).astype(np.int64)
+        np.subtract.at(self.other_tokens, at, known.astype(np.int64))
+        np.subtract.at(self.other_distinct, at, 1)
+        mass = np.concatenate([known, np.maximum(1, self.other_tokens), [max(1.0, ends)]])
         self.noise = mass / mass.sum()
 
 
@@ -202,27 +263,30 @@ def train(counts: Counts, rounds: int = ROUNDS) -> Network:
 
             n = own.train(parts(), seed=turn)
             if n:
-                delta = ((own.flat() - flat).astype(np.float64) * n).astype(np.float32)
-                yield _row(TaskContext.get().partitionId(), n, delta)
+                yield _row(TaskContext.get().partitionId(), n, own.flat() - flat)
 
         def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("delta").to_pylist())
-            return pa.Table.from_batches([_row(key[0].as_py(), sum(table.column("n").to_pylist()), total.astype(np.float32))])
+            total, n = np.zeros(size), 0
+            for x, k in zip(table.column("delta"), table.column("n").to_pylist(), strict=True):
+                total += np.frombuffer(x.as_buffer(), np.float16).astype(float) * k
+                n += k
+            return pa.Table.from_batches([_row(key[0].as_py(), n, total / n)])
 
         schema = "part int, n long, delta binary"
         sums, wide = map_arrow(texts, learn, schema), max(2, texts.rdd.getNumPartitions())
-        while wide > 1:  # a tree of sums: no task adds more than FAN parameter sets
-            sums = sums.withColumn("part", F.expr(f"part div {FAN}").cast("int")).groupBy("part").applyInArrow(add, schema)
-            wide = -(-wide // FAN)
+        fan = max(2, min(FAN, FAN_BYTES // (2 * size)))
+        while wide > 1:  # a tree of means: no task adds more than fan parameter sets
+            sums = sums.withColumn("part", F.expr(f"part div {fan}").cast("int")).groupBy("part").applyInArrow(add, schema)
+            wide = -(-wide // fan)
         sums = sums.collect()
         if sums:
-            net.set_flat((net.flat() + np.frombuffer(sums[0].delta, np.float32)[:size] / sums[0].n).astype(np.float32))
+            net.set_flat((net.flat() + np.frombuffer(sums[0].delta, np.float16)).astype(np.float32))
         shared.unpersist()
     return net
 
 
 def _row(part: int, n: int, delta: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([delta.tobytes()], pa.binary())], names=["part", "n", "delta"])
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([delta.astype(np.float16).tobytes()], pa.binary())], names=["part", "n", "delta"])
 
 
 _FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
@@ -236,14 +300,14 @@ def score(counts: Counts, net: Network) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name not in names and f.name not in ("_block", "_train")]
     schema = T.StructType([*kept, *_FIELDS])
     columns = [f.name for f in kept]
-    shared = sc.broadcast((net, *net.tables()))
-    total, distinct, rest, rest_distinct = counts.tokens, counts.distinct, counts.other_tokens, counts.other_distinct
+    shared = sc.broadcast(net)
+    total, distinct, rest = counts.tokens, counts.distinct, counts.other_tokens + counts.other_distinct + 1
     arrow = to_arrow_schema(schema)
 
     def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return arrow.empty_table()
-        model, one, two, z = shared.value
+        model = shared.value
         other = len(model.keys)
         token = right.column("token").combine_chunks().to_numpy().view(np.uint64) if right.num_rows else np.zeros(0, np.uint64)
         c = right.column("c").combine_chunks().to_numpy() if right.num_rows else np.zeros(0, np.int64)
@@ -259,9 +323,9 @@ def score(counts: Counts, net: Network) -> DataFrame:
                 at[at == len(token)] = 0
                 own_c = np.where(token[at] == unique, c[at], 0) if len(token) else np.zeros(len(unique), np.int64)
                 own, a, b = model.classes(doc, key)
-                log_p = (one[a, own] + two[b, own] - z[a, b]).astype(float) / math.log(10)
-                share = np.log10((own_c + 1) / (rest + rest_distinct + 1))[back]
-                log_p += np.where(own == other, share, 0.0)
+                log_p = model.log_p(own, a, b) / math.log(10)
+                hashed = np.flatnonzero((own >= other) & (own < other + model.hashed))
+                log_p[hashed] += np.log10((own_c[back[hashed]] + 1) / rest[own[hashed] - other])
                 base = np.log10((own_c + 1) / (total + distinct + 1))[back]
                 for i, x in enumerate((None, (own_c > 0)[back], base, log_p)):
                     got[i] += np.bincount(doc, x, n)

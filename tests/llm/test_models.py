@@ -249,3 +249,26 @@ def test_toxicity(spark):
     assert sum(r.predicted for r in bad) >= 0.9 * len(bad) and sum(r.predicted for r in good) <= 0.03 * len(good)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
     assert [r.score for r in toxicity.score(d, toxicity.fit(d, l.filter("toxic = 0"))).take(2)] == [0, 0]
+
+
+def test_language_model_tells_rare_words_apart(spark):
+    """The vocabulary grows with the corpus, and words past it are not one class."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(50)) for _ in range(2000)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    small, large = (lm_scoring.Counts(d.filter(f"doc_id < {n}"), lm_scoring.F.lit(True)) for n in (20, 2000))
+    assert lm_scoring.WORDS >= 1000 > len(small.keys) and len(large.keys) > 2 * lm_scoring.WORDS
+    assert large.hashed > 1
+    net = lm_scoring.Network(large.keys, large.noise)
+    net.set_flat(net.flat() + np.random.default_rng(1).normal(0, 0.3, len(net.flat())).astype(np.float32))
+    v = len(large.noise)
+    for one, two in ((0, 1), (v - 2, v), (v, v)):  # words, a hash class, the start
+        p = np.exp(net.log_p(np.arange(v), np.full(v, one), np.full(v, two)))
+        assert p.sum() == pytest.approx(1, abs=1e-5)
+    assert np.isfinite(lm_scoring.train(large, rounds=1).flat()).all()
+    rare = np.setdiff1d(np.arange(1, 2000, dtype=np.uint64), large.keys)
+    own, _, _ = net.classes(np.zeros(len(rare), int), rare)
+    assert len(set(own)) > 1
+    a, b = np.flatnonzero(own == own[0])[0], np.flatnonzero(own != own[0])[0]
+    after = [net.log_p(np.array([0]), np.array([own[k]]), np.array([v]))[0] for k in (a, b)]
+    assert after[0] != after[1]
