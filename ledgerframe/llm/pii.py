@@ -2,21 +2,28 @@
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its check; they are found in linear
 time and always stay. The field reads the surroundings of digits, ``@`` and bracketed ``at``: text is cut into atoms
-(runs of letters, runs of digits, other characters), a candidate is a whole span of at most ``LONGEST`` atoms, and features
-of the whole span (digits, separators, checks such as Luhn, its neighbours) score it for every kind. Dynamic programming
-over spans gives the probability of every candidate under all ways to cut the text and the best cut; spans of the best cut
-with a probability of at least ``SURE`` that overlap no base span are added.
+(runs of letters, digits or blanks, a bracketed ``at`` or ``dot``, other characters), a candidate is a whole span of at most
+``LONGEST`` atoms and ``LONGEST_TEXT`` characters, and features of the whole span (digits, separators, checks such as Luhn,
+its neighbours) score it for every kind. Dynamic programming over spans gives the probability of every candidate under all
+ways to cut the text and the best cut; spans of the best cut with a probability of at least ``SURE`` that overlap no base
+span are added.
 
-The field is trained by gradient on the likelihood: on surroundings from a bounded sample of documents with their base
-spans, and on copies in which the spans are written in disguise (``[at]``, ``[.]``, other separators, no plus sign) or in
-which disguised spans of made-up data were put. Detection reads every whole text.
+A long stretch is read in pieces of ``PIECE`` characters that overlap by more than the longest candidate on either side, and
+a span belongs to the piece that it begins in, so time is linear in the text and memory is bounded however many digits it has.
+Features depend on a span's shape, its checks and its neighbours only, and are kept in a bounded table.
+
+The field is trained by gradient on the likelihood: on at most ``EXAMPLES`` surroundings from a bounded sample of documents
+with their base spans, and on copies in which the spans are written in disguise (``[at]``, ``[.]``, other separators, no plus
+sign) or in which disguised spans of made-up data were put. Detection reads every whole text.
 
 Defined results: null counts as empty; offsets are code points, ends exclusive; kinds are listed in the order email, ip,
-card, phone; an empty table gives an empty result; input columns named like a result column are replaced.
+card, phone; only 0 to 9 are digits (superscripts and digits of other scripts are other characters); a run of digits of any
+length is read; an empty table gives an empty result; input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -29,14 +36,24 @@ from pyspark.sql import types as T
 from .frames import add_by_arrow, shielded
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, SURE, LONGEST, REACH = 2000, 0.9, 16, 48
+#: Documents and stretches of them for fitting; the certainty asked for; atoms and characters of a candidate; characters
+#: around a trigger, and of a piece.
+SAMPLE, EXAMPLES, SURE, LONGEST, LONGEST_TEXT, REACH, PIECE = 2000, 700, 0.9, 24, 128, 48, 2048
+_MOST_DIGITS, _KNOWN = 19, 1 << 16
+_DIGITS = frozenset("0123456789")
+_TWICE = {str(d): 2 * d - 9 * (d > 4) for d in range(10)}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_ATOM = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
+_ATOM = re.compile(r"[\[(](?:[aA][tT]|[dD][oO][tT])[\])]|[A-Za-z]+|[0-9]+| +|.", re.S)
+_SIGN = re.compile(r"[\[(]at[\])]", re.I)
+_HOST = re.compile(r"[A-Za-z0-9]\s*(?:\.|[\[(](?:dot|\.)[\])])\s*[A-Za-z]{2,}$", re.I)
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(]at[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(](?:dot|\.)[\])]) ?[A-Za-z0-9-]+)+", re.I)
+_JOINT = frozenset("._%+-@")
+_SHAPE = str.maketrans("0123456789", "0" * 10)
 _TRIGGER = re.compile(r"[0-9]+|@|[\[(]at[\])]", re.I)
 
 Span = tuple[int, int, str]
@@ -52,6 +69,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(part: str) -> bool:
+    """Whether a run of digits is at most 255; leading zeros do not count, and long runs are never made numbers."""
+    own = part.lstrip("0")
+    return len(own) < 3 or len(own) == 3 and own <= "255"
+
+
 def base_spans(text: str) -> list[Span]:
     """Base matches by start, then kind in the order of KINDS."""
     out: list[Span] = []
@@ -73,7 +96,7 @@ def base_spans(text: str) -> list[Span]:
                 for k in range(0, len(parts) - 3, 4):
                     four = parts[k : k + 4]
                     size = sum(map(len, four)) + 3
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+                    if all(map(_octet, four)):
                         out.append((pos, pos + size, "ip"))
                     pos += size + 1
         for m in _CARD.finditer(text):
@@ -83,7 +106,7 @@ def base_spans(text: str) -> list[Span]:
                     out.append((m.start(), m.end(), "card"))
         if "+" in text:
             for m in _PHONE.finditer(text):
-                if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+                if 9 <= sum(c in _DIGITS for c in m[0]) <= 15:
                     out.append((m.start(), m.end(), "phone"))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -104,27 +127,32 @@ def regions(text: str) -> list[tuple[int, int]]:
 
 
 _BUCKETS = (0, 3, 6, 8, 9, 11, 12, 15, 16, 19)
-_NAMES = 46
+_NAMES = 49
 
 
 def features(s: str, before: str, after: str) -> np.ndarray:
     """Features of a whole candidate span and the characters beside it."""
+    digits = "".join(c for c in s if c in _DIGITS)
+    groups = re.findall(r"[0-9]+", s)
+    return _features(s, before, after, len(digits) >= 12 and luhn(digits), len(groups) == 4 and all(len(g) <= 3 and _octet(g) for g in groups))
+
+
+def _features(s: str, before: str, after: str, card: bool, address: bool) -> np.ndarray:
+    """The same from the checks' results and a text whose digits may be masked."""
     x = np.zeros(_NAMES)
-    digits = "".join(c for c in s if c.isdigit())
-    n, dots, blanks = len(digits), s.count("."), s.count(" ")
     groups = re.findall(r"[0-9]+", s)
+    n, dots, blanks = sum(map(len, groups)), s.count("."), s.count(" ")
     x[0] = 1
     x[1 + sum(n > b for b in _BUCKETS)] = 1
     x[12 + min(4, dots)] = 1
     x[17 + min(3, blanks)] = 1
     at = s.count("@")
     x[21] = at == 1
-    x[22] = bool(re.search(r"[\[(]at[\])]", s, re.I))
+    x[22] = bool(_SIGN.search(s))
     x[23] = at > 1
-    x[24], x[25], x[26], x[27] = s[0] == "+", s[0] == "(", s[0].isdigit(), s[0].isalpha()
-    x[28], x[29] = s[-1].isdigit(), s[-1].isalpha()
-    x[30] = n >= 12 and luhn(digits)
-    x[31] = len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    x[24], x[25], x[26], x[27] = s[0] == "+", s[0] == "(", s[0] in _DIGITS, s[0].isalpha()
+    x[28], x[29] = s[-1] in _DIGITS, s[-1].isalpha()
+    x[30], x[31] = card, address
     x[32] = len(groups) >= 2 and len(groups[-1]) == 4 and len(groups[-2]) == 3
     letters = any(c.isalpha() for c in s)
     x[33] = letters and not (x[21] or x[22])
@@ -135,91 +163,136 @@ def features(s: str, before: str, after: str) -> np.ndarray:
     x[38] = bool(rest) and not rest.strip(" .[]")
     x[39] = not rest
     x[40] = len(groups) == 4 and all(len(g) == 4 for g in groups)
-    x[41] = bool(re.search(r"[A-Za-z0-9]\s*(\.|[\[(](dot|\.)[\])])\s*[A-Za-z]{2,}$", s))
-    x[42] = "\n" in s or "," in s or ";" in s or "!" in s or "=" in s or '"' in s
+    x[41] = bool(_HOST.search(s))
+    x[42] = any(c in s for c in '\n,;!="')
     x[43], x[44] = before in "+.-_@%", after in "-_@%" and after != ""
     x[45] = "(" in s and ")" in s and len(groups) >= 3
+    x[46] = s.count("(") != s.count(")") or s.count("[") != s.count("]")
+    x[47] = bool(_ADDRESS.fullmatch(s))
+    x[48] = bool(x[47]) and before not in _JOINT and (after not in _JOINT or after in ". ")
     return x
 
 
 class Lattice:
-    """Candidate spans of a stretch of text, with their features."""
-
-    def __init__(self, text: str, lo: int, hi: int):
-        self.at = [m.start() + lo for m in _ATOM.finditer(text[lo:hi])] + [hi]
-        n = len(self.at) - 1
-        atoms = [text[self.at[k] : self.at[k + 1]] for k in range(n)]
+    """Candidate spans of a stretch of text, with their features; ``known`` keeps the features of shapes met before."""
+
+    def __init__(self, text: str, lo: int, hi: int, known: dict | None = None):
+        known = {} if known is None else known
+        part = text[lo:hi]
+        starts = [m.start() for m in _ATOM.finditer(part)] + [hi - lo]
+        n = len(starts) - 1
+        atoms = [part[starts[k] : starts[k + 1]] for k in range(n)]
+        number = [a[0] in _DIGITS for a in atoms]
+        sign = [a == "@" or _SIGN.fullmatch(a) is not None for a in atoms]
         opens = [a[0].isalnum() or a in "+(" for a in atoms]
-        closes = [a[0].isalnum() for a in atoms]
-        key = [a[0].isdigit() or a == "@" or a.lower() == "at" for a in atoms]
-        digits = np.cumsum([0] + [len(a) if a[0].isdigit() else 0 for a in atoms])
-        signs = np.cumsum([0] + [(a == "@") + (a.lower() == "at" and 0 < k < n - 1 and atoms[k - 1] in "[(") for k, a in enumerate(atoms)])
+        closes = [a[0].isalnum() or a == ")" for a in atoms]
+        stops = [a in "\n;,!" for a in atoms]
+        shape = part.translate(_SHAPE)
+        self.at = [a + lo for a in starts]
+        # Luhn sums of any run of digits from sums over all digits, plain at even places and doubled at odd ones, and the reverse
+        plain, doubled, place = [0], [0], [0]
+        for a, is_number in zip(atoms, number, strict=True):
+            if is_number and len(a) <= LONGEST_TEXT:
+                for c in a:
+                    own, twice = int(c), _TWICE[c]
+                    even = len(plain) % 2
+                    plain.append(plain[-1] + (own if even else twice))
+                    doubled.append(doubled[-1] + (twice if even else own))
+            place.append(len(plain) - 1)
         self.spans: list[tuple[int, int]] = []
-        rows = []
+        rows: list[np.ndarray] = []
         for i in range(n):
-            if not opens[i]:
+            if not opens[i] or len(atoms[i]) > LONGEST_TEXT:
                 continue
+            begin, digits, signs, groups = starts[i], 0, 0, 0
+            before = text[lo + begin - 1] if lo + begin else ""
+            before = "0" if before in _DIGITS else before
             for j in range(i + 1, min(n, i + LONGEST) + 1):
-                if atoms[j - 1] in "\n;,!" or atoms[j - 1] == " " and j >= 2 and atoms[j - 2] == " " and digits[j] == digits[i]:
+                a = atoms[j - 1]
+                end = starts[j]
+                if stops[j - 1] or end - begin > LONGEST_TEXT:
                     break
-                if not closes[j - 1] or not any(key[i:j]) or not (signs[j] - signs[i] == 1 or digits[j] - digits[i] >= 4):
+                if number[j - 1]:
+                    digits += len(a)
+                    groups += 1
+                signs += sign[j - 1]
+                if signs > 1 or not signs and digits > _MOST_DIGITS:
+                    break  # no kind has more
+                if not closes[j - 1] or not signs and digits < 4:
                     continue
+                after = text[lo + end] if lo + end < len(text) else ""
+                x, y = place[i], place[j]
+                sums = plain if y % 2 else doubled
+                card = digits >= 12 and (sums[y] - sums[x]) % 10 == 0
+                address = groups == 4 and all(len(atoms[k]) <= 3 and _octet(atoms[k]) for k in range(i, j) if number[k])
+                key = (shape[begin:end], before, "0" if after in _DIGITS else after, card, address)
+                x = known.get(key)
+                if x is None:
+                    x = _features(*key)
+                    if len(known) < _KNOWN:
+                        known[key] = x
                 self.spans.append((i, j))
-                a, b = self.at[i], self.at[j]
-                rows.append(features(text[a:b], text[a - 1 : a], text[b : b + 1]))
+                rows.append(x)
         self.x = np.array(rows).reshape(-1, _NAMES)
         self.n = n
 
     def marginals(self, w: np.ndarray) -> tuple[np.ndarray, float]:
         """Probabilities (span, kind), and the log of the sum over all segmentations."""
         score = self.x @ w.T
-        own = np.logaddexp.reduce(score, axis=1) if len(score) else np.zeros(0)
+        if not self.spans:
+            return np.zeros((0, len(KINDS))), 0.0
+        own = np.logaddexp.reduce(score, axis=1).tolist()
         ends: dict[int, list[int]] = {}
         begins: dict[int, list[int]] = {}
         for k, (i, j) in enumerate(self.spans):
             ends.setdefault(j, []).append(k)
             begins.setdefault(i, []).append(k)
-        forward, backward = np.zeros(self.n + 1), np.zeros(self.n + 1)
+        forward, backward = [0.0] * (self.n + 1), [0.0] * (self.n + 1)
         for j in range(1, self.n + 1):
             f = forward[j - 1]
-            for k in ends.get(j, ()):
-                f = np.logaddexp(f, forward[self.spans[k][0]] + own[k])
+            if j in ends:
+                f = _log_sum([f, *(forward[self.spans[k][0]] + own[k] for k in ends[j])])
             forward[j] = f
         for i in range(self.n - 1, -1, -1):
             f = backward[i + 1]
-            for k in begins.get(i, ()):
-                f = np.logaddexp(f, backward[self.spans[k][1]] + own[k])
+            if i in begins:
+                f = _log_sum([f, *(backward[self.spans[k][1]] + own[k] for k in begins[i])])
             backward[i] = f
-        if not self.spans:
-            return np.zeros((0, len(KINDS))), float(forward[-1])
         i, j = np.array(self.spans).T
-        return np.exp(score + (forward[i] + backward[j] - forward[-1])[:, None]), float(forward[-1])
+        return np.exp(score + (np.array(forward)[i] + np.array(backward)[j] - forward[-1])[:, None]), forward[-1]
 
     def best(self, w: np.ndarray) -> list[tuple[int, int]]:
         """(candidate, kind) of the likeliest segmentation."""
+        if not self.spans:
+            return []
         score = self.x @ w.T
-        top = [(0.0, None)] * (self.n + 1)
+        most, kind = score.max(1).tolist(), score.argmax(1).tolist()
+        value, back = [0.0] * (self.n + 1), [None] * (self.n + 1)
         ends: dict[int, list[int]] = {}
         for k, (_, j) in enumerate(self.spans):
             ends.setdefault(j, []).append(k)
         for j in range(1, self.n + 1):
-            value, back = top[j - 1][0], None
+            value[j] = value[j - 1]
             for k in ends.get(j, ()):
-                v = top[self.spans[k][0]][0] + score[k].max()
-                if v > value:
-                    value, back = v, k
-            top[j] = (value, back)
+                v = value[self.spans[k][0]] + most[k]
+                if v > value[j]:
+                    value[j], back[j] = v, k
         out, j = [], self.n
         while j:
-            k = top[j][1]
+            k = back[j]
             if k is None:
                 j -= 1
             else:
-                out.append((k, int(score[k].argmax())))
+                out.append((k, kind[k]))
                 j = self.spans[k][0]
         return out[::-1]
 
 
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum(math.exp(v - top) for v in values))
+
+
 def _made_up(rng: random.Random, kind: str) -> str:
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
@@ -239,7 +312,7 @@ def disguised(rng: random.Random, kind: str, span: str) -> str:
         at, dot = rng.choice((("[at]", "."), (" [at] ", "."), ("(at)", "."), (" (at) ", " (dot) "), ("[at]", "[dot]")))
         local, _, domain = span.partition("@")
         return local + at + domain.replace(".", dot)
-    digits = "".join(c for c in span if c.isdigit())
+    digits = "".join(c for c in span if c in _DIGITS)
     if kind == "ip":
         return span.replace(".", rng.choice(("[.]", " . ", "[.]")))
     if kind == "card":
@@ -253,25 +326,57 @@ class Field:
 
     def __init__(self, w: np.ndarray):
         self.w = w
+        self._known: dict = {}
+
+    def __getstate__(self):
+        return self.w
 
-    def spans(self, text: str, base: list[Span] | None = None) -> list[Span]:
+    def __setstate__(self, w):
+        self.__init__(w)
+
+    def spans(self, text: str, base: list[Span] | None = None, piece: int = PIECE) -> list[Span]:
         """Base spans and the spans that the field adds, by start, then kind."""
         base = base_spans(text) if base is None else base
-        out = list(base)
+        added: list[Span] = []
+        apart = _Covered(base)
+        done = 0
         for lo, hi in regions(text):
-            lattice = Lattice(text, lo, hi)
-            best = lattice.best(self.w)
-            if not best:
-                continue
-            p, _ = lattice.marginals(self.w)
-            for k, y in best:
-                a, b = (lattice.at[x] for x in lattice.spans[k])
-                if p[k, y] >= SURE and not any(s < b and a < e for s, e, _ in base):
-                    out.append((a, b, KINDS[y]))
-        return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
-
-
-def train_field(stretches: list[str], seed: int = 11, epochs: int = 12, most: int = 700) -> Field:
+            for a in range(lo, hi, piece):
+                b = min(hi, a + piece)
+                for s, e, kind in self._sure(text, max(lo, a - 2 * LONGEST_TEXT), min(hi, b + 2 * LONGEST_TEXT)):
+                    if a <= s < b and s >= done and not apart.overlaps(s, e):
+                        added.append((s, e, kind))
+                        done = e
+        return sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+
+    def _sure(self, text: str, lo: int, hi: int) -> list[Span]:
+        lattice = Lattice(text, lo, hi, self._known)
+        best = lattice.best(self.w)
+        if not best:
+            return []
+        p, _ = lattice.marginals(self.w)
+        return [(lattice.at[lattice.spans[k][0]], lattice.at[lattice.spans[k][1]], KINDS[y]) for k, y in best if p[k, y] >= SURE]
+
+
+class _Covered:
+    """Whether a span overlaps one of many; asked from left to right."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans, self.k = sorted((a, b) for a, b, _ in spans), 0
+        self.longest = max((b - a for a, b in self.spans), default=0)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        while self.k < len(self.spans) and self.spans[self.k][0] + self.longest <= start:
+            self.k += 1
+        k = self.k
+        while k < len(self.spans) and self.spans[k][0] < end:
+            if self.spans[k][1] > start:
+                return True
+            k += 1
+        return False
+
+
+def train_field(stretches: list[str], seed: int = 11, epochs: int = 12, most: int = EXAMPLES) -> Field:
     """From stretches of text: as they are, with their spans in disguise, and with made-up spans put in."""
     rng = random.Random(seed)
     stretches = [s for s in stretches if s.strip()] or ["a b c"]
@@ -305,8 +410,9 @@ def train_field(stretches: list[str], seed: int = 11, epochs: int = 12, most: in
         lead = " ".join(words[:3]) + " "
         examples.append((lead + hidden + " " + " ".join(words[3:]), [(len(lead), len(lead) + len(hidden), kind)]))
     lattices = []
+    known: dict = {}
     for text, spans in examples:
-        lattice = Lattice(text, 0, len(text))
+        lattice = Lattice(text, 0, len(text), known)
         place = {(lattice.at[i], lattice.at[j]): k for k, (i, j) in enumerate(lattice.spans)}
         gold = [(place[a, b], KINDS.index(y)) for a, b, y in spans if (a, b) in place]
         if len(gold) == len(spans) and lattice.spans:
@@ -331,9 +437,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     n = near.count()
     draw = F.pmod(F.xxhash64("text", F.lit("pii")), F.lit(1 << 30))
     share = min(1.0, 0.9 * sample / n) if n else 1.0
-    # only the surroundings of the first digits of a drawn document are learned from; detection reads whole texts
-    some = F.slice(F.regexp_extract_all("text", F.lit(r"[^\n]{0,48}[0-9@][^\n]{0,64}"), F.lit(0)), 1, 3)
-    rows = near.filter(draw < int(share * (1 << 30))).select(F.explode(some).alias("s")).limit(3 * sample).collect()
+    around = F.regexp_extract_all("text", F.lit(r"[^\n]{0,48}[0-9@][^\n]{0,64}"), F.lit(0))
+    found = near.filter(draw < int(share * (1 << 30))).select(F.explode(F.array_distinct(around)).alias("s")).distinct()
+    # an order that does not depend on partitions; copies of a text count once
+    rows = found.orderBy(F.xxhash64("s"), "s").limit(3 * sample).collect()
     return train_field(sorted({r.s for r in rows}))
 
 
