@@ -1,27 +1,28 @@
 """Toxicity by compression distance: one zstandard dictionary of toxic text, one of ordinary text.
 
-Both dictionaries are trained on labelled documents. They share a body of ordinary words; the toxic one also holds the
-pieces of words that set toxic documents apart (chosen greedily by the weight of the character 5-grams they newly cover,
-as dictionary trainers choose segments), the ordinary one as many more ordinary words. Ordinary words that the toxic
-dictionary shortens more are found in the training documents and put into both, for a few rounds. A document is read in
-windows of one word with its blanks (words of over 48 bytes in overlapping pieces); a window is compressed with either
-dictionary after a fixed lead that both end with, so that very short windows still give exact lengths. How many bytes
-the toxic dictionary saves in the four best windows decides, through thresholds and weights calibrated on
-labelled documents that trained no dictionary.
+Both are trained by zstandard's own trainer on the labelled documents of their class. Most of a toxic document is ordinary text,
+and a dictionary of it would hold little else; so the toxic documents are cut, before training, to the runs of characters whose
+5-grams set toxic documents apart (a log-likelihood ratio over documents, corrected for the number of grams looked at).
+A third dictionary, trained on ordinary text too, is the body that both share, so that text known to either side costs the same;
+ordinary training windows that the toxic dictionary still shortens are added to that body, for a few rounds.
+
+A document is read in windows of ``WINDOW`` words. Every window is compressed with either dictionary, and the difference of
+the two lengths is what toxic text would explain. The best differences of a document and its number of windows decide,
+through weights and a threshold calibrated on labelled documents that trained no dictionary.
 
 The sample for fitting has at most ``SAMPLE`` documents of each label of at most ``SAMPLE_BYTES``; scoring reads every
 whole text.
 
 Defined results: null and empty texts get the score of a text without any saving; several labels of an id count as
-toxic if one is; without labels of both kinds, or if
-nothing sets them apart, every score is the share of toxic labels (0 without labels) and the filter drops nothing; an empty
-table gives an empty result; input columns named like a result column are replaced.
+toxic if one is; without labels of both kinds, among the training and among the calibrating documents, or if nothing sets
+them apart, every score is the share of toxic labels (0 without labels) and the filter drops nothing; too little text for the
+trainer is taken as the dictionary as it is; an empty table gives an empty result; input columns named like a result column
+are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 import re
 from collections import Counter
@@ -34,39 +35,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import add_by_arrow, map_arrow, remainder, shielded
+from .frames import add_by_arrow, remainder, shielded
 from .tokens import ALNUM, buffers, words
 
-SAMPLE, SAMPLE_BYTES = 2000, 1 << 20
-BODY_BYTES, TOXIC_BYTES, ROUNDS = 64 << 10, 4 << 10, 6
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 17
+#: Words of a window, and bytes of a part of a very long one.
+WINDOW, PART = 8, 512
+#: Bytes of the class dictionaries, of the shared body, and of what a round adds to it.
+CLASS_BYTES, BODY_BYTES, ROUND_BYTES, ROUNDS = 4 << 10, 64 << 10, 32 << 10, 12
 THRESHOLD = 0.3
-_GRAM, _LONGEST, _OVERLAP, _CACHE = 5, 48, 16, 1 << 20
-#: Around every window: a lead both dictionaries end with, and a tail so long that the window's last bytes are searched too.
-_LEAD, _TAIL = (hashlib.sha256(x).hexdigest().encode()[:n] for x, n in ((b"lead", 40), (b"tail", 10)))
-_SPLIT = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def pieces(word: bytes) -> list[bytes]:
-    """The windows of a word: itself, or overlapping parts of a very long one."""
-    if len(word) <= _LONGEST:
-        return [word]
-    return [word[i : i + _LONGEST] for i in range(0, len(word) - _OVERLAP, _LONGEST - _OVERLAP)]
-
-
-def distinct_windows(text: str | None) -> set[bytes]:
-    out: set[bytes] = set()
-    for w in set(_SPLIT.split((text or "").lower().encode())):
-        if w:
-            out.update(pieces(w))
-    return out
+_GRAM = 5
+#: Around every text: a lead both dictionaries end with, so that very short texts give exact lengths, and a tail; a window
+#: is compressed with the ``_AFTER`` bytes that follow it, as a match never begins in the last bytes.
+_LEAD, _TAIL = (hashlib.sha256(x).hexdigest()[:n] for x, n in ((b"lead", 40), (b"tail", 10)))
+_AFTER = 1 + len(_TAIL)
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 class _Sizer:
-    """Compressed lengths of windows with one dictionary."""
+    """Compressed lengths of segments of a buffer with one dictionary."""
 
     def __init__(self, content: bytes):
-        parameters = zstandard.ZstdCompressionParameters(compression_level=1, strategy=zstandard.STRATEGY_FAST, window_log=17, hash_log=18, min_match=5, target_length=0, write_content_size=False, write_checksum=False, write_dict_id=False)
-        trained = zstandard.ZstdCompressionDict(content + _LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        parameters = zstandard.ZstdCompressionParameters(compression_level=1, strategy=zstandard.STRATEGY_FAST, window_log=19, hash_log=20, min_match=5, target_length=0, write_content_size=False, write_checksum=False, write_dict_id=False)
+        trained = zstandard.ZstdCompressionDict(content + _LEAD.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         trained.precompute_compress(compression_params=parameters)
         self.compress = zstandard.ZstdCompressor(dict_data=trained, compression_params=parameters).multi_compress_to_buffer
 
@@ -74,6 +65,36 @@ class _Sizer:
         return np.array([len(x) for x in self.compress(zstandard.BufferWithSegments(buffer, segments), threads=1)], np.int64)
 
 
+def normalised(column: pa.Array) -> pa.Array:
+    """Lower-cased words with one blank between, and the lead and the tail around each text."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(column.cast(pa.string()), "")), _GAP, " ")
+    return pc.binary_join_element_wise(_LEAD, plain, _TAIL, " ")
+
+
+def window_edges(column: pa.Array):
+    """(bytes, text, start, end) of the windows of normalised texts, in groups of whole texts."""
+    data, offsets = buffers(column)
+    for w in words(column, ALNUM):
+        own = np.ones(len(w.hash), bool)  # the lead and the tail are no words of the text
+        own[np.searchsorted(w.doc, np.arange(w.first, w.last))] = False
+        own[np.searchsorted(w.doc, np.arange(w.first, w.last), "right") - 1] = False
+        doc, start, end = w.doc[own], w.start[own], w.end[own]
+        if not len(doc):
+            continue
+        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        first = np.flatnonzero(place % WINDOW == 0)
+        last = np.append(first[1:], len(doc)) - 1
+        d, a, b = doc[first], start[first], end[last]
+        a = np.where(place[first] == 0, offsets[d], a - 1)  # the first window has the lead
+        b = np.minimum(b + _AFTER, offsets[d + 1])
+        for k in np.flatnonzero(b - a > PART).tolist():  # rare: parts of very long words
+            cuts = np.arange(a[k], b[k] - 16, PART - 16)
+            d, a, b = np.append(d, np.full(len(cuts) - 1, d[k])), np.append(a, cuts[1:]), np.append(b, np.minimum(cuts[1:] + PART, b[k]))
+            b[k] = a[k] + PART
+        base = int(offsets[w.first])
+        yield data[base : int(offsets[w.last])], d, a - base, b - base
+
+
 class Distance:
     """Bytes that the toxic dictionary saves over the ordinary one, window by window."""
 
@@ -87,103 +108,86 @@ class Distance:
     def __setstate__(self, contents):
         self.__init__(*contents)
 
-    def __call__(self, windows: list[bytes]) -> np.ndarray:
-        if not windows:
-            return np.zeros(0, np.int64)
+    def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         if self._sizers is None:
             self._sizers = tuple(_Sizer(c) for c in self.contents)
-        size = np.array([len(w) for w in windows], np.uint64) + np.uint64(len(_LEAD) + len(_TAIL) + 2)
-        segments = np.stack([np.cumsum(size) - size, size], axis=1).tobytes()
-        buffer = b"".join(_LEAD + b" " + w + b" " + _TAIL for w in windows)
+        buffer, segments = data.tobytes(), np.stack([start, end - start], axis=1).astype(np.uint64).tobytes()
         return self._sizers[0](buffer, segments) - self._sizers[1](buffer, segments)
 
 
-def _grams(window: bytes) -> list[bytes]:
-    x = b" " + window + b" "
+def _grams(word: bytes) -> list[bytes]:
+    x = b" " + word + b" "
     return [x[i : i + _GRAM] for i in range(len(x) - _GRAM + 1)]
 
 
-def train_distance(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Distance | None:
-    """Dictionaries from the window sets of toxic and of ordinary documents; null if nothing sets them apart."""
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary of about ``size`` bytes by zstandard's trainer; where there is too little text for it, the text itself."""
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b" ".join(dict.fromkeys(samples))[-CLASS_BYTES:]
+
+
+def telling(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> dict[bytes, bool]:
+    """5-grams whose documents are toxic more often than the labels' shares explain, and whether that is beyond doubt, so
+    that they are never taken for ordinary where a label is wrong."""
     n, m = len(toxic), len(ordinary)
-    bad, good, seen, plain = Counter(), Counter(), Counter(), Counter()
-    for grams, said, docs in ((bad, seen, toxic), (good, plain, ordinary)):
-        for d in docs:
-            said.update(d)
-            grams.update({g for w in d for g in _grams(w)})
-    # a gram counts if its documents are toxic more often than the labels' shares explain (log-likelihood ratio, corrected
-    # for the number of grams looked at)
+    bad, good = Counter(g for d in toxic for g in d), Counter(g for d in ordinary for g in d)
     share = n / (n + m)
     looked = math.log(1 + sum(c >= 3 for c in bad.values()))
-    weight, sure = {}, set()
+    out = {}
     for g, c in bad.items():
         o = good[g]
-        if c < 3 or c / (c + o) < (1 + share) / 2:
-            continue
-        proof = c * math.log(c / ((c + o) * share)) + (o * math.log(o / ((c + o) * (1 - share))) if o else 0.0)
-        if proof > looked + 3:
-            weight[g] = proof
-            if proof > 2 * (looked + 3):
-                sure.add(g)  # too telling to count as ordinary, even where a label is wrong
-    cores: set[bytes] = set()
-    for w in seen:
-        x, at = b" " + w + b" ", []
-        for i in range(len(x) - _GRAM + 1):
-            if x[i : i + _GRAM] in weight:
-                if at and i <= at[-1][1]:
-                    at[-1][1] = i + _GRAM
-                else:
-                    at.append([i, i + _GRAM])
-        cores.update(x[a:b] for a, b in at)
-
-    def value(s: bytes) -> float:
-        return sum(weight.get(s[i : i + _GRAM], 0.0) for i in range(len(s) - _GRAM + 1)) / (len(s) + 1)
-
-    heap = [(-value(s), s) for s in cores]
-    heapq.heapify(heap)
-    chosen: list[bytes] = []
-    while heap and sum(map(len, chosen)) < TOXIC_BYTES:
-        _, s = heapq.heappop(heap)
-        now = value(s)
-        if now <= 0:
-            continue
-        if heap and -heap[0][0] > now + 1e-9:
-            heapq.heappush(heap, (-now, s))
-            continue
-        chosen.append(s)
-        for i in range(len(s) - _GRAM + 1):
-            weight.pop(s[i : i + _GRAM], None)
-    if not chosen:
+        if c >= 3 and c / (c + o) >= (1 + share) / 2:
+            proof = c * math.log(c / ((c + o) * share)) + (o * math.log(o / ((c + o) * (1 - share))) if o else 0.0)
+            if proof > looked + 3:
+                out[g] = proof > 2 * (looked + 3)
+    return out
+
+
+def _runs(word: bytes, found: dict[bytes, bool]) -> list[bytes]:
+    """The parts of a word that telling grams cover."""
+    x, at = b" " + word + b" ", []
+    for i in range(len(x) - _GRAM + 1):
+        if x[i : i + _GRAM] in found:
+            if at and i <= at[-1][1]:
+                at[-1][1] = i + _GRAM
+            else:
+                at.append([i, i + _GRAM])
+    return [x[a:b] for a, b in at]
+
+
+def train_distance(toxic: list[str], ordinary: list[str]) -> Distance | None:
+    """Dictionaries from toxic and from ordinary texts; null if nothing sets them apart."""
+    gap = re.compile(_GAP)
+    split = lambda t: [w for w in gap.sub(" ", t.lower()).encode().split(b" ") if w]
+    said = {k: [split(t) for t in texts] for k, texts in ((1, toxic), (0, ordinary))}
+    found = telling(*([{g for w in set(d) for g in _grams(w)} for d in said[k]] for k in (1, 0)))
+    samples = [b" ".join(r for w in dict.fromkeys(d) for r in _runs(w, found)) for d in said[1]]
+    samples = [s for s in samples if s]
+    if not samples:
         return None
-    extra = b"\n".join(reversed(chosen))
-    common = sorted(plain, key=lambda w: (-plain[w], w))
-
-    def body(words_: list[bytes], most: int) -> bytes:
-        out, k = [], 0
-        for w in words_:
-            if k + len(w) + 1 > most:
-                break
-            out.append(w)
-            k += len(w) + 1
-        return b" " + b" ".join(reversed(out)) + b" "
-
-    shared = body([w for w in common if len(w) >= 3], BODY_BYTES)
-    fill = body([w for w in common if len(w) >= 3][2000:], len(extra))[: len(extra)].rjust(len(extra))
-    candidates = sorted(w for w in plain if not sure.intersection(_grams(w)))
-    distance = Distance(fill + shared, extra + shared)
+    plain = [b" ".join(d) for d in said[0]]
+    own, other = trained(samples, CLASS_BYTES, 32), trained(plain, CLASS_BYTES, 32)
+    shared = trained(plain, BODY_BYTES, 64)
+    size = max(len(own), len(other))
+    own, other = own.rjust(size), other.rjust(size)  # both at the same distance from the text
+    windows = list(window_edges(normalised(pa.array(ordinary, pa.string()))))
     for _ in range(ROUNDS):
-        saved = distance(candidates)
-        hard = [candidates[i] for i in np.argsort(-saved * 1000 - np.array([min(999, plain[w]) for w in candidates]), kind="stable").tolist() if saved[i] >= 2]
+        distance = Distance(other + shared, own + shared)
+        hard: Counter = Counter()
+        for data, _, start, end in windows:
+            saved = distance(data, start, end)
+            for i in np.flatnonzero(saved >= 2).tolist():
+                x = data[start[i] : end[i]].tobytes()
+                if not any(found.get(x[j : j + _GRAM]) for j in range(len(x) - _GRAM + 1)):
+                    hard[x] = int(saved[i])
         if not hard:
             break
-        shared = body(hard, BODY_BYTES // 4) + shared
-        distance = Distance(fill + shared, extra + shared)
-    return distance
-
-
-def _features(saved: list[int], n: int) -> list[float]:
-    top = [max(0, s) for s in sorted(saved, reverse=True)[:4]] + [0] * 4
-    return [top[0], top[1], top[2] + top[3], math.log1p(n)]
+        shared = b" ".join(sorted(hard, key=lambda x: (-hard[x], x)))[:ROUND_BYTES] + b" " + shared
+    return Distance(other + shared, own + shared)
 
 
 class Model:
@@ -191,62 +195,26 @@ class Model:
 
     def __init__(self, distance: Distance | None, weights: np.ndarray):
         self.distance, self.weights = distance, weights
-        self._keys: np.ndarray | None = None
-
-    def __getstate__(self):
-        return self.distance, self.weights
 
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def probability(self, features: np.ndarray) -> np.ndarray:
-        z = self.weights[0] + features @ self.weights[1:]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def features(self, column: pa.Array) -> np.ndarray:
+        """Of each text: the best saving, the next, the two after together, and the logarithm of the number of windows."""
+        out = np.zeros((len(column), 4))
+        for data, doc, start, end in window_edges(normalised(column)):
+            saved = self.distance(data, start, end)
+            np.add.at(out[:, 3], doc, 1)
+            at = np.flatnonzero(saved > 0)
+            at = at[np.lexsort((-saved[at], doc[at]))]
+            rank = np.arange(len(at)) - np.searchsorted(doc[at], doc[at])
+            at, rank = at[rank < 4], rank[rank < 4]
+            np.add.at(out, (doc[at], np.minimum(rank, 2)), saved[at])
+        out[:, 3] = np.log1p(out[:, 3])
+        return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if self.distance is None:
             return np.full(len(column), float(self.weights[0]))
-        if self._keys is None:  # a direct-mapped cache of window savings, bounded and per process
-            self._keys, self._saved = np.zeros(_CACHE, np.uint64), np.zeros(_CACHE, np.int8)
-        column = pc.utf8_lower(pc.fill_null(column, ""))
-        data, _ = buffers(column)
-        features = np.zeros((len(column), 4))
-        for w in words(column, ALNUM):
-            if not len(w.hash):
-                continue
-            unique, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
-            saved = self._lookup(unique, at, w, data)
-            one = np.unique(w.doc * np.int64(len(unique)) + back)
-            doc, which = one // len(unique), one % len(unique)
-            features[w.first : w.last, 3] = np.log1p(np.bincount(doc - w.first, minlength=w.last - w.first))
-            found: dict[int, list[int]] = {}
-            hit = saved[which] > 0
-            for d, s in zip(doc[hit].tolist(), saved[which[hit]].tolist(), strict=True):
-                found.setdefault(d, []).append(s)
-            for d, s in found.items():
-                features[d, :3] = _features(s, 0)[:3]
-        return self.probability(features)
-
-    def _lookup(self, unique: np.ndarray, at: np.ndarray, w, data: np.ndarray) -> np.ndarray:
-        slot = (unique >> np.uint64(11)).astype(np.int64) & (_CACHE - 1)
-        saved = self._saved[slot].astype(np.int64)
-        new = np.flatnonzero(self._keys[slot] != unique)
-        windows, owner = [], []
-        for k, a, b in zip(new.tolist(), w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True):
-            raw = data[a:b].tobytes()
-            if len(raw) <= _LONGEST:
-                windows.append(raw)
-                owner.append(k)
-            else:
-                for p in pieces(raw):
-                    windows.append(p)
-                    owner.append(k)
-        if len(new):
-            best = np.zeros(len(unique), np.int64)
-            np.maximum.at(best, np.array(owner, np.int64), self.distance(windows))
-            saved[new] = np.minimum(best[new], 127)
-            self._keys[slot[new]], self._saved[slot[new]] = unique[new], saved[new]
-        return saved
+        z = self.weights[0] + self.features(column) @ self.weights[1:]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def calibrate(features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -264,8 +232,22 @@ def calibrate(features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return w
 
 
+def model_of(rows: list[tuple[int, int, str]]) -> Model:
+    """A model from (toxic, remainder, text): remainders 0 and 1 train the dictionaries, 3 calibrates."""
+    rows = sorted(rows)
+    share = sum(r[0] for r in rows) / len(rows) if rows else 0.0
+    bad, good = ([r[2] for r in rows if r[0] == k and r[1] != 3] for k in (1, 0))
+    held = [r for r in rows if r[1] == 3]
+    distance = train_distance(bad, good) if bad and good and len({r[0] for r in held}) == 2 else None
+    if distance is None:
+        return Model(None, np.array([share]))
+    model = Model(distance, np.zeros(5))
+    model.weights = calibrate(model.features(pa.array([r[2] for r in held], pa.string())), np.array([float(r[0]) for r in held]))
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from documents whose crc32 remainder by 4 is not 2: remainders 0 and 1 train the dictionaries, 3 calibrates."""
+    """A model from labelled documents whose crc32 remainder by 4 is not 2."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     part = remainder("doc_id", 4)
     ids = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("b")).filter(F.col("doc_id").isNotNull() & (part != 2) & (F.col("b") <= SAMPLE_BYTES)).select("doc_id").join(marks, "doc_id")
@@ -278,30 +260,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     keep = F.lit(False)
     for label, n in counts.items():
         keep = keep | ((F.col("toxic") == label) & (draw < int((1 << 30) * min(1.0, 0.9 * sample / n))))
-    drawn = ids.filter(keep).limit(4 * sample)  # about 1.8 x sample ids; the limit is the proof that they may be broadcast
-    few = docs.select("doc_id", "text").filter((part != 2) & (F.octet_length("text") <= SAMPLE_BYTES)).join(F.broadcast(drawn), "doc_id").withColumn("part", part.cast("int")).select("toxic", "part", "text")
-
-    def windows_of(batches):
-        for b in batches:
-            said = [sorted(distinct_windows(t)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.list_(pa.binary()))], names=["toxic", "part", "windows"])
-
-    got = map_arrow(few, windows_of, "toxic int, part int, windows array<binary>").toArrow()
-    rows = [(a, b, {bytes(w) for w in c}) for a, b, c in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)]
-    rows.sort(key=lambda r: (r[0], r[1], len(r[2]), sorted(r[2])[:3]))
-    bad, good = ([r[2] for r in rows if r[0] == k and r[1] != 3] for k in (1, 0))
-    held = [r for r in rows if r[1] == 3]
-    if not bad or not good or len({r[0] for r in held}) < 2:
-        held = rows
-    if not bad or not good:
-        return Model(None, np.array([counts[1] / total]))
-    distance = train_distance(bad, good)
-    if distance is None:
-        return Model(None, np.array([counts[1] / total]))
-    every = sorted(set().union(*(r[2] for r in held)))
-    saved = dict(zip(every, distance(every).tolist(), strict=True))
-    features = np.array([_features([saved[w] for w in r[2]], len(r[2])) for r in held])
-    return Model(distance, calibrate(features, np.array([float(r[0]) for r in held])))
+    # about 1.8 x sample ids, repeated ones once; the limit, in an order of their own, is the proof that they may be broadcast
+    drawn = ids.filter(keep).distinct().orderBy(draw, "doc_id").limit(4 * sample)
+    few = docs.select("doc_id", "text").filter((part != 2) & (F.octet_length("text") <= SAMPLE_BYTES)).join(F.broadcast(drawn), "doc_id").select("toxic", part.cast("int").alias("part"), "text").distinct()
+    got = few.toArrow()
+    return model_of(list(zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
