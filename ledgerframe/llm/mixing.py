@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source has a target in words. A document first gets the whole copies that are certain; for the rest of the
-target each document has an inclusion probability p, and documents are ranked by the Pareto order
-``(u / (1 - u)) / (p / (1 - p))`` with u a fixed random number of the document. Taking documents in this order up to a
-fixed size is sequential Poisson-like sampling with unequal probabilities and a size that does not vary between draws.
+Every source has a target in words, and every document an importance: the expected copies of a source's documents are in
+proportion to it, up to ``MOST`` copies each, at the level at which they add up to the target. Without a column for it, the
+importance of a document is the number of binary digits of its size, so longer documents are likelier but not overwhelming.
+A document first gets the whole copies that are certain; for the rest each has its own inclusion probability p, and documents
+are ranked by the Pareto order ``(u / (1 - u)) / (p / (1 - p))`` with u a fixed random number of the document. Taking documents
+in this order up to a fixed size is sampling with unequal probabilities and a size that does not vary between draws.
 The size is counted in words: the sample ends at the document that brings the source nearest to its target.
 
 No source is ordered in one task: ranks are cut into slices of equal probability, word counts of the slices are summed,
@@ -11,7 +13,8 @@ and only the documents of the slice that holds the cut are put in order; slices
 
 Defined results: a null text has size 0 and is never taken; null sources are one source, after all others; an equal u
 (repeated rows) is ordered by doc_id, size and then arbitrarily among equal rows; a source without words has target 0;
-an empty table gives an empty result; input columns named like a result column are replaced.
+documents with a null importance or one that is not positive are never taken, and a source whose others cannot reach the target
+at ``MOST`` copies each stays below it; an empty table gives an empty result; input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import put, shielded, text_or_empty
-from .storage import materialize
+from .storage import discard, materialize
 
 #: Weights dealt to the sources by code point order, null last, and repeated.
 WEIGHTS = (3, 1, 2)
@@ -28,6 +31,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 #: Slices of a source, and the documents that may be put in order at once.
 SLICES, ORDERED = 1 << 12, 20_000
+#: A given importance is taken to the nearest of so many levels an octave, so a source has a bounded number of them.
+LEVELS = 16
 _RANKS = 1 << 52
 _NO_ID = -(1 << 63)
 
@@ -37,7 +42,7 @@ def size_in_words() -> Column:
 
 
 def random_number() -> Column:
-    """52 fixed random bits of the document's id and text size as a long."""
+    """52 fixed random bits of the document's id as a long."""
     key = F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long")
 
@@ -65,27 +70,51 @@ def _pareto_rank(u: Column, p: Column) -> Column:
     return F.floor(F.when(a + b > 0, a / (a + b)).otherwise(F.lit(1.0)) * F.lit(float(_RANKS))).cast("long")
 
 
+def _levels(importance: str | None) -> Column:
+    """The importance as one of a bounded number of levels; null where a document is never to be taken."""
+    if importance is None:
+        return F.when(F.col("size") > 0, F.length(F.bin("size"))).cast("double")
+    given = F.col(importance).cast("double")
+    given = F.when((given > 0) & (given < float("inf")), F.greatest(F.lit(1e-300), given))
+    return F.pow(F.lit(2.0), F.round(F.log2(given) * LEVELS) / LEVELS)
+
+
+def slopes(sized: DataFrame, goal: DataFrame, most: int) -> DataFrame:
+    """(source, slope): copies expected for an importance of 1, so that ``min(most, slope x importance)`` copies of each
+    document make the target; null where all must be taken ``most`` times. ``sized`` has source, size and _each."""
+    levels = sized.filter("size > 0 and _each is not null").groupBy("source", "_each").agg(F.sum("size").alias("mass"))
+    levels = levels.join(goal.select("_source", "_target"), F.col("source").eqNullSafe(F.col("_source")))
+    down = Window.partitionBy("source").orderBy(F.col("_each").desc())
+    full = F.coalesce(F.sum("mass").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("mass") * F.col("_each")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    levels = levels.withColumn("slope", (F.col("_target") - F.lit(most) * full) / rest)
+    # the documents above a level are taken `most` times each; the first level that stays below that
+    fits = F.max_by(F.when(F.col("slope") * F.col("_each") <= most, F.col("slope")), F.when(F.col("slope") * F.col("_each") <= most, F.col("_each")))
+    return levels.groupBy("source").agg(fits.alias("slope"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, importance: str | None = None, slices: int = SLICES, ordered: int = ORDERED) -> DataFrame:
     """``docs`` with size, source_size, target, copies (whole copies the mix takes, at most ``most``) and taken.
 
-    ``importance`` names a column of positive numbers: expected copies within a source are in proportion to it (null or
-    not positive: never taken). Without it the documents of a source are alike and only sources differ."""
-    each = F.lit(1.0) if importance is None else F.coalesce(F.greatest(F.col(importance).cast("double"), F.lit(0.0)), F.lit(0.0))
-    sized = put(docs, size=size_in_words(), _each=each, _u=random_number() / F.lit(float(_RANKS)))
-    sums = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("_each")).alias("_mass")).withColumnRenamed("source", "_source2")
+    ``importance`` names a column of positive numbers to which the expected copies within a source are in proportion."""
+    sized = put(docs, size=size_in_words(), _u=random_number() / F.lit(float(_RANKS)))
+    sized = sized.withColumn("_each", _levels(importance))
     goal = targets(sized.select("source", "size"), weights, share, most).withColumnRenamed("source", "_source").withColumnsRenamed({"source_size": "_source_size", "target": "_target"})
-    goal = materialize(goal.join(sums, F.col("_source").eqNullSafe(F.col("_source2"))).drop("_source2"), "targets")
-    expected = F.when(F.col("_mass") > 0, F.least(F.lit(float(most)), F.col("_target") / F.col("_mass") * F.col("_each"))).otherwise(0.0)
-    out = sized.join(goal, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_expected", expected)
+    goal = materialize(goal, "targets")
+    by = slopes(sized.select("source", "size", "_each"), goal, most).select(F.col("source").alias("_source2"), F.coalesce("slope", F.lit(float("inf"))).alias("_slope"))
+    level = materialize(goal.join(by, F.col("_source").eqNullSafe(F.col("_source2")), "left").drop("_source2"), "slopes")
+    expected = F.when(F.col("_each").isNotNull() & (F.col("_target") > 0), F.least(F.lit(float(most)), F.col("_slope") * F.col("_each"))).otherwise(0.0)
+    out = sized.join(level, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_expected", expected)
     out = out.withColumn("_whole", F.when(F.col("size") > 0, F.floor("_expected")).otherwise(0).cast("long")).withColumn("_rank", _pareto_rank(F.col("_u"), F.col("_expected") - F.col("_whole")))
-    units = materialize(out.filter("size > 0").select(F.col("source").alias("s"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "size", "_whole", "_rank", (F.col("_whole") < most).alias("open")), "units")
+    units = materialize(out.filter("size > 0 and _each is not null").select(F.col("source").alias("s"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "size", "_whole", "_rank", (F.col("_whole") < most).alias("open")), "units")
     cuts = materialize(_cuts(units, goal, slices, ordered), "cuts")
+    discard(units)
     out = out.join(cuts, F.col("source").eqNullSafe(F.col("_cut_source")), "left")
     key = F.struct(F.col("_rank").alias("a"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("b"), F.col("size").alias("c"))
     cut = F.struct(F.col("_cut_rank").alias("a"), F.col("_cut_id").alias("b"), F.col("_cut_size").alias("c"))
-    extra = F.when(F.col("_cut_rank").isNotNull() & (F.col("_whole") < most) & (key <= cut), 1).otherwise(0)
+    extra = F.when(F.col("_cut_rank").isNotNull() & F.col("_each").isNotNull() & (F.col("_whole") < most) & (key <= cut), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("_whole") + extra).otherwise(0).cast("long")
-    return put(out, size=F.col("size"), source_size=F.col("_source_size"), target=F.col("_target"), copies=copies, taken=copies * F.col("size")).drop("_each", "_u", "_source", "_source_size", "_target", "_mass", "_expected", "_whole", "_rank", "_cut_source", "_cut_rank", "_cut_id", "_cut_size")
+    return put(out, size=F.col("size"), source_size=F.col("_source_size"), target=F.col("_target"), copies=copies, taken=copies * F.col("size")).drop("_each", "_u", "_source", "_source_size", "_target", "_slope", "_expected", "_whole", "_rank", "_cut_source", "_cut_rank", "_cut_id", "_cut_size")
 
 
 def _cuts(units: DataFrame, goal: DataFrame, slices: int, ordered: int) -> DataFrame:
@@ -141,8 +170,13 @@ f AS (SELECT *, 2 * z AS cap, ({SHARE} * sum(z) OVER () - coalesce(sum(2 * z) OV
              row_number() OVER (ORDER BY 2 * z / w, source NULLS LAST) AS k
       FROM s WINDOW b AS (ORDER BY 2 * z / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, z, least(cap, (SELECT arg_min(level, k) FROM f WHERE level * w <= cap) * w) AS target FROM f),
-e AS (SELECT d.*, z, target, CASE WHEN z > 0 THEN least(2.0, target / z) ELSE 0 END AS x
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+i AS (SELECT d.*, z, target, length(bin(size))::DOUBLE AS each FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+l AS (SELECT source, each, target, sum(size)::DOUBLE AS mass FROM i WHERE size > 0 GROUP BY ALL),
+v AS (SELECT source, each, (target - 2 * coalesce(sum(mass) OVER (PARTITION BY source ORDER BY each DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(mass * each) OVER (PARTITION BY source ORDER BY each DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS slope FROM l),
+y AS (SELECT source, arg_max(slope, each) FILTER (WHERE slope * each <= 2) AS slope FROM v GROUP BY source),
+e AS (SELECT i.*, CASE WHEN size > 0 AND target > 0 THEN least(2.0, coalesce(slope, 'Infinity'::DOUBLE) * each) ELSE 0 END AS x
+      FROM i LEFT JOIN y ON i.source IS NOT DISTINCT FROM y.source),
 r AS (SELECT *, floor(x) AS whole, x - floor(x) AS p FROM e),
 q AS (SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS rest,
              floor(CASE WHEN u * (1 - p) + p * (1 - u) > 0 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) ELSE 1 END * {float(_RANKS)!r}::DOUBLE) AS rank FROM r),

@@ -129,6 +129,25 @@ def test_importance_shifts_the_sample(spark):
     assert odd > 3 * even and abs(odd + even - got[0].target) <= 10
 
 
+def test_documents_of_a_source_have_unequal_chances(spark):
+    """Copies expected are in proportion to the binary digits of the size, so the mix prefers longer documents."""
+    rows = [(i, "w " * (3 if i % 2 else 60), "a" if i < 4000 else "b") for i in range(8000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.5).filter("source = 'b'").collect()
+    short, long_ = ([r for r in got if r.size == n] for n in (3, 60))
+    rate = lambda x: sum(r.copies for r in x) / len(x)
+    assert rate(short) / rate(long_) == pytest.approx(2 / 6, abs=0.08)
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 60
+
+
+def test_expected_copies_make_the_target(spark):
+    """Those that reach the most copies leave their share to the others."""
+    rows = [(i, "w " * 10, "s", 100.0 if i < 50 else 1.0 if i < 390 else None) for i in range(400)] + [(1000 + i, "w " * 10, "t", 0.0) for i in range(10)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, q double"), weights=(1, 1), share=0.7, importance="q").collect()
+    s = [r for r in got if r.source == "s"]
+    assert all(r.copies == 2 for r in s if r.q == 100) and all(r.copies == 0 for r in got if not r.q)
+    assert abs(sum(r.taken for r in s) - s[0].target) <= 10
+
+
 def brute_lines(texts, min_docs):
     key = line_dedup.line_key
     n = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")} if k)
