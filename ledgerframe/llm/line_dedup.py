@@ -1,17 +1,21 @@
 """Line deduplication with exact reference counts and sharded cuckoo filters, reversible document by document.
 
 The reference table counts, for every line key, the documents that hold it; it is the truth, and inserting or deleting
-documents adds to or subtracts from it. Keys found in at least ``min_docs`` documents are also kept in cuckoo filters,
-one for each shard of keys, which unlike Bloom filters let a key go again when its count falls. Reading documents, every
-line asks the filters first; only the few that answer yes are joined with the reference table, whose word is final. So a
-false answer of a filter costs a lookup and never a line. Filters are small (2 bytes a slot) and are broadcast in groups
-of at most ``GROUP_BYTES``; where there are more, documents pass group after group.
+documents adds a table of changes to it (after ``MOST_CHANGES`` of them they are merged). Keys found in at least ``min_docs``
+documents are also kept in cuckoo filters, one for each shard of keys, which unlike Bloom filters let a key go again when its
+count falls: an insertion or deletion looks up only the keys of its own documents, puts those that reached ``min_docs`` into
+the filters of their shards, takes those that fell below it out of theirs, and leaves all other filters as they are. A filter
+that has no more place is built again, larger, from the keys of its shard.
+
+Reading documents, every line asks the filters first; only the few that answer yes are joined with the reference table, whose
+word is final. So a false answer of a filter costs a lookup and never a line. Filters are small (2 bytes a slot) and are
+broadcast in groups of at most ``GROUP_BYTES``, one group at a time: the answers of a group are written before the next is read.
 
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased; the table holds its MD5.
 
 Defined results: a null or empty text is one empty line; keys shorter than ``min_length`` code points are never counted;
-a key counts once for each row that holds it, repeated rows each; deleting documents that were never inserted is an
-error of the caller (counts below zero are dropped); an empty table gives an empty result; input columns named like a
+a key counts once for each row that holds it, repeated rows each; deleting documents of which a line was never inserted that
+often raises ``ValueError`` and changes nothing; an empty table gives an empty result; input columns named like a
 result column are replaced.
 """
 
@@ -26,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import add_by_arrow, map_arrow, put, ship, text_or_empty
-from .storage import materialize
+from .storage import discard, materialize
 
 MIN_DOCS, MIN_LENGTH, SHARD_KEYS = 10, 1, 1 << 16
-GROUP_BYTES = 64 << 20
+GROUP_BYTES, MOST_CHANGES = 64 << 20, 8
 _SLOTS, _KICKS = 4, 500
 _BLANKS = " \t\n\u000b\f\r"
 _FOLD = {c: c + 32 for c in range(65, 91)}
@@ -51,14 +55,18 @@ class CuckooFilter:
     def _other(self, bucket, prints):
         return (bucket ^ (prints.astype(np.int64) * 0x5BD1E995 & 0x7FFFFFFF)) & self.mask
 
+    def _own(self) -> None:
+        if not self.table.flags.writeable:
+            self.table = self.table.copy()
+
     def contains(self, keys: np.ndarray) -> np.ndarray:
         at, prints = self._split(keys)
         at &= self.mask
         return (self.table[at] == prints[:, None]).any(1) | (self.table[self._other(at, prints)] == prints[:, None]).any(1)
 
     def insert(self, keys: np.ndarray) -> None:
-        """Adds keys; the table doubles when an insertion finds no place after many kicks."""
-        keys = keys.copy()
+        """Adds keys; an error if one finds no place after many kicks."""
+        self._own()
         at, prints = self._split(keys)
         state = 0x2545F491
         for k in range(len(keys)):
@@ -84,7 +92,9 @@ class CuckooFilter:
                 raise OverflowError("no place in the filter")
 
     def delete(self, keys: np.ndarray) -> None:
-        """Takes out one entry of each key; the keys must have been inserted."""
+        """Takes out one entry of each key; the keys must have been inserted (another key with the same print and buckets is
+        as good)."""
+        self._own()
         at, prints = self._split(keys)
         for b, p in zip((at & self.mask).tolist(), prints.tolist(), strict=True):
             for c in (b, int(self._other(np.array([b]), np.array([p], np.uint16))[0])):
@@ -110,7 +120,7 @@ class CuckooFilter:
     @classmethod
     def from_bytes(cls, raw: bytes) -> CuckooFilter:
         made = cls.__new__(cls)
-        made.table = np.frombuffer(raw, np.uint16).reshape(-1, _SLOTS).copy()
+        made.table = np.frombuffer(raw, np.uint16).reshape(-1, _SLOTS)  # shared with ``raw``; copied before it is changed
         made.mask = len(made.table) - 1
         return made
 
@@ -132,31 +142,63 @@ def line_counts(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
 
 
 class LineIndex:
-    """Reference counts, and cuckoo filters of the keys in at least ``min_docs`` documents, by shard of the key."""
-
-    def __init__(self, counts: DataFrame, min_docs: int = MIN_DOCS, min_length: int = MIN_LENGTH, shard_keys: int = SHARD_KEYS):
-        self.counts, self.min_docs, self.min_length = materialize(counts, "line_counts"), min_docs, min_length
-        self.frequent = materialize(self.counts.filter(F.col("n_docs") >= min_docs), "frequent")
-        n = self.frequent.count()
-        self.shards = max(1, -(-n // shard_keys))
-        shards = self.shards
+    """Reference counts, and cuckoo filters of the keys in at least ``min_docs`` documents, by shard of the key.
 
-        def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            made = CuckooFilter.of(np.sort(_first8(table.column("key"))))
-            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([made.to_bytes()], pa.binary())})
+    An index is never changed in place: :meth:`insert` and :meth:`delete` return the next one, which shares all tables and
+    filters with this one but for what the documents touch."""
 
-        ship(counts.sparkSession.sparkContext)
-        by_shard = self.frequent.select(_shard(F.col("key"), shards).alias("shard"), "key")
-        self.filters = materialize(by_shard.groupBy("shard").applyInArrow(build, "shard int, filter binary"), "filters")
+    def __init__(self, counts: list[DataFrame], frequent: DataFrame, filters: DataFrame, shards: int, min_docs: int, min_length: int):
+        #: A base table and signed changes to it, (key, n_docs) each.
+        self.parts, self.frequent, self.filters, self.shards, self.min_docs, self.min_length = counts, frequent, filters, shards, min_docs, min_length
 
     @classmethod
-    def build(cls, docs: DataFrame, min_docs: int = MIN_DOCS, min_length: int = MIN_LENGTH, **options) -> LineIndex:
-        return cls(line_counts(docs, min_length), min_docs, min_length, **options)
+    def build(cls, docs: DataFrame, min_docs: int = MIN_DOCS, min_length: int = MIN_LENGTH, shard_keys: int = SHARD_KEYS) -> LineIndex:
+        counts = materialize(line_counts(docs, min_length), "line_counts")
+        frequent = materialize(counts.filter(F.col("n_docs") >= min_docs).select("key"), "frequent")
+        shards = max(1, -(-frequent.count() // shard_keys))
+        return cls([counts], frequent, materialize(_built(frequent, shards), "filters"), shards, min_docs, min_length)
+
+    @property
+    def counts(self) -> DataFrame:
+        """The reference table (key, n_docs) as of now."""
+        if len(self.parts) == 1:
+            return self.parts[0]
+        every = self.parts[0]
+        for p in self.parts[1:]:
+            every = every.unionByName(p)
+        return every.groupBy("key").agg(F.sum("n_docs").alias("n_docs")).filter("n_docs > 0")
 
     def _changed(self, docs: DataFrame, sign: int) -> LineIndex:
-        change = line_counts(docs, self.min_length).select("key", (sign * F.col("n_docs")).alias("n_docs"))
-        merged = self.counts.unionByName(change).groupBy("key").agg(F.sum("n_docs").alias("n_docs")).filter("n_docs > 0")
-        return LineIndex(merged, self.min_docs, self.min_length)
+        change = materialize(line_counts(docs, self.min_length).select("key", (sign * F.col("n_docs")).alias("n_docs")), "line_changes")
+        # only the keys of these documents are looked up
+        before = None
+        for p in self.parts:
+            own = p.join(change.select("key"), "key", "left_semi")
+            before = own if before is None else before.unionByName(own)
+        before = before.groupBy("key").agg(F.sum("n_docs").alias("before"))
+        moved = change.join(before, "key", "left").select("key", F.coalesce("before", F.lit(0)).alias("before"), F.expr("coalesce(before, 0) + n_docs").alias("after"))
+        least = F.lit(self.min_docs)
+        moved = materialize(moved.filter((F.col("after") < 0) | ((F.col("before") >= least) != (F.col("after") >= least))).select("key", "after", _shard(F.col("key"), self.shards).alias("shard")), "moved")
+        if not moved.filter("after < 0").isEmpty():
+            raise ValueError("documents to delete hold lines that were never inserted that often")
+        moved = moved.select("shard", "key", (F.col("after") >= least).alias("up"))
+        frequent = self.frequent.join(moved.filter("not up").select("key"), "key", "left_anti").unionByName(moved.filter("up").select("key"))
+        frequent = materialize(frequent, "frequent")
+        ship(docs.sparkSession.sparkContext)
+        touched = moved.select("shard").distinct()
+        old = self.filters.join(touched, "shard", "left_semi")
+        new = materialize(moved.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(_updated, "shard int, filter binary"), "new_filters")
+        full = new.filter("filter is null").select("shard")
+        filters = self.filters.join(touched, "shard", "left_anti").unionByName(new.filter("filter is not null"))
+        if not full.isEmpty():
+            keys = frequent.withColumn("shard", _shard(F.col("key"), self.shards)).join(full, "shard", "left_semi").select("key")
+            filters = filters.unionByName(_built(keys, self.shards))
+        parts = [*self.parts, change]
+        out = LineIndex(parts, frequent, materialize(filters, "filters"), self.shards, self.min_docs, self.min_length)
+        discard(new)
+        if len(parts) > MOST_CHANGES:
+            out.parts = [materialize(out.counts, "line_counts")]
+        return out
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index after these documents came."""
@@ -183,10 +225,13 @@ class LineIndex:
         sc = docs.sparkSession.sparkContext
         shards, short = self.shards, self.min_length
         tagged = put(docs, _text_key=F.unhex(F.md5(text_or_empty().cast("binary"))))
-        asked = None
-        for group in self.groups(group_bytes):
-            filters = sc.broadcast({r.shard: r.filter for r in self.filters.filter(F.col("shard").isin(group)).collect()})
+        groups, asked = self.groups(group_bytes), None
+        for group in groups:
+            filters = sc.broadcast({r.shard: bytes(r.filter) for r in self.filters.filter(F.col("shard").isin(group)).collect()})
             found = _candidates(tagged.select("_text_key", "text"), filters, shards, short)
+            if len(groups) > 1:
+                found = materialize(found, "candidates")
+                filters.unpersist()
             asked = found if asked is None else asked.unionByName(found)
         if asked is None:
             return _without(put(tagged, _lines=F.array().cast("array<int>")))
@@ -197,6 +242,32 @@ class LineIndex:
         return _without(tagged.join(lines, F.col("_text_key") == F.col("_text_key2"), "left").drop("_text_key2"))
 
 
+def _built(keys: DataFrame, shards: int) -> DataFrame:
+    """(shard, filter) of these keys."""
+
+    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        made = CuckooFilter.of(np.sort(_first8(table.column("key"))))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([made.to_bytes()], pa.binary())})
+
+    ship(keys.sparkSession.sparkContext)
+    return keys.select(_shard(F.col("key"), shards).alias("shard"), "key").groupBy("shard").applyInArrow(build, "shard int, filter binary")
+
+
+def _updated(moved: pa.Table, old: pa.Table) -> pa.Table:
+    """The filter of a shard after keys came (up) and went; null if it has no place for them."""
+    up = moved.column("up").to_numpy(zero_copy_only=False).astype(bool)
+    keys = _first8(moved.column("key"))
+    filter_ = CuckooFilter.from_bytes(old.column("filter")[0].as_py()) if old.num_rows else CuckooFilter(int(up.sum()))
+    raw: bytes | None = None
+    try:
+        filter_.delete(keys[~up])
+        filter_.insert(np.sort(keys[up]))
+        raw = filter_.to_bytes()
+    except OverflowError:
+        pass
+    return pa.table({"shard": moved.column("shard").slice(0, 1).cast(pa.int32()), "filter": pa.array([raw], pa.binary())})
+
+
 def _first8(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -178,6 +178,36 @@ def test_lines_come_and_go(spark):
     assert sorted(map(tuple, back.counts.collect())) == sorted(map(tuple, index.counts.collect()))
 
 
+def test_updates_touch_only_their_shards(spark):
+    line = lambda k: f"line number {k}"
+    docs = spark.createDataFrame([(i, "\n".join(line(k) for k in range(400) if (k + i) % 2)) for i in range(6)], "doc_id long, text string")
+    index = line_dedup.LineIndex.build(docs, min_docs=3, shard_keys=50)
+    assert index.shards == 8
+    before = {r.shard: bytes(r.filter) for r in index.filters.collect()}
+    more = spark.createDataFrame([(10 + i, "a new line") for i in range(3)], "doc_id long, text string")
+    after = index.insert(more)
+    held = {r.shard: bytes(r.filter) for r in after.filters.collect()}
+    changed = [s for s in before if before[s] != held[s]]
+    assert len(changed) == 1 and set(before) == set(held) and after.shards == 8 and len(after.parts) == 2
+    assert after.drop_lines(more).filter("n_dropped = 1").count() == 3
+    back = after.delete(more)
+    assert {r.shard: bytes(r.filter) for r in back.filters.collect()} == before
+    assert back.drop_lines(more).filter("n_dropped = 1").count() == 0
+    assert sorted(map(tuple, back.counts.collect())) == sorted(map(tuple, index.counts.collect()))
+    with pytest.raises(ValueError, match="never inserted"):
+        back.delete(more)
+
+
+def test_a_full_filter_is_built_again(spark):
+    one = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
+    index = line_dedup.LineIndex.build(one, min_docs=2)
+    text = "\n".join(f"row {k}" for k in range(500))
+    many = spark.createDataFrame([(3, text), (4, text)], "doc_id long, text string")
+    grown = index.insert(many)
+    assert grown.drop_lines(many).filter("n_dropped = 500").count() == 2 and grown.drop_lines(one).filter("n_dropped = 1").count() == 2
+    assert {r.n_dropped for r in grown.drop_lines(many, group_bytes=1).collect()} == {500}
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
