@@ -1,7 +1,8 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
-A text is cut where its own content says so (after white space that follows one of a few letters, or after sentence
-marks), so equal passages give equal chunks wherever they stand. Each distinct chunk text crosses the network once, to
+A text is cut where its own bytes say so, in every script: after white space that follows one of a few letters, after some of
+the bytes that end a non-ASCII character, and after some pairs of letters and digits (for text without white space). So equal
+passages give equal chunks wherever they stand. Chunks are made of the UTF-8 bytes, one character for each. Each distinct chunk text crosses the network once, to
 verify that its 64-bit hash belongs to no other chunk text; hashes that do not are given numbered identifiers. From then
 on a document is the ordered list of its chunk identifiers, and only those short lists are grouped and joined.
 
@@ -21,15 +22,16 @@ from pyspark.sql import functions as F
 from .frames import put, shielded, text_or_empty
 from .storage import materialize
 
-#: Lengths of a chunk in characters, and the places where it may end.
-SHORTEST, LONGEST, ENDS = 256, 4096, r"(?<=[dlnt]\s|[。！？।])"
+#: Lengths of a chunk in bytes, and the places where it may end.
+SHORTEST, LONGEST = 256, 4096
+ENDS = r"(?<=[dlnt]\s|[\x84\x8D\x96\x9F\xA8\xB1\xBA]|[bgjqvxzBGJQVXZ0369][bgjqvxzBGJQVXZ1478])"
 #: Groups of at least this share of all rows are spread by a broadcast of their (at most 1 / share) recipes.
 HOT_SHARE = 1 / 256
 
 
 def chunks(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:
-    """The content-defined chunks of a text, in order; joined they are the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{shortest},{longest}}}?{ENDS}|.{{1,{longest}}}"), F.lit(0))
+    """The content-defined chunks of a text, in order; joined they are its UTF-8 bytes, each as a character of Latin-1."""
+    return F.regexp_extract_all(F.decode(text.cast("binary"), "ISO-8859-1"), F.lit(rf"(?s).{{{shortest},{longest}}}?{ENDS}|.{{1,{longest}}}"), F.lit(0))
 
 
 def ambiguous_chunks(docs: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
@@ -43,17 +45,19 @@ def ambiguous_chunks(docs: DataFrame, hashed: Callable[[Column], Column]) -> Dat
 
 
 def recipes(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """``docs`` with the column ``_recipe``: verified chunk identifiers in order. The identifier of a
-    chunk is its hash; texts with a chunk whose hash is shared also list the places and numbers of such chunks."""
+    """``docs`` with the column ``_recipe``: the number of chunks, then verified chunk identifiers in order. The identifier of
+    a chunk is its hash; texts with a chunk whose hash is shared also list, after all hashes, the places and numbers of such
+    chunks."""
     ambiguous = materialize(ambiguous_chunks(docs, hashed), "ambiguous")
     plain = F.transform(chunks(text_or_empty()), lambda c: hashed(c))
+    plain = F.concat(F.array(F.size(plain).cast("long")), plain)
     if ambiguous.isEmpty():
         return put(docs, _recipe=plain)
     # rare: texts that hold an ambiguous chunk are numbered chunk by chunk, keyed by the text itself
     tagged = put(docs, _plain=plain, _text=text_or_empty())
     pieces = tagged.select("_text").distinct().select("_text", F.posexplode(chunks(F.col("_text"))).alias("at", "chunk"))
     numbers = pieces.join(ambiguous, "chunk").groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("_numbers"))
-    tail = F.flatten(F.transform("_numbers", lambda x: F.array(-1 - x["at"].cast("long"), x["number"])))
+    tail = F.flatten(F.transform("_numbers", lambda x: F.array(x["at"].cast("long"), x["number"])))
     out = tagged.join(numbers, "_text", "left")
     return put(out, _recipe=F.concat("_plain", F.coalesce(tail, F.array().cast("array<bigint>")))).drop("_plain", "_text", "_numbers")
 
