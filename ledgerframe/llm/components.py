@@ -35,7 +35,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Each turn writes the edges once; a node's edges are aggregated before they are joined, never listed in one place."""
     edges, seen = materialize(edges.filter("u <> v").select("u", "v").distinct(), "edges"), None
-    for _ in range(most):
+    for _ in range(most):  # large-star and small-star turns grow with the logarithm of the longest chain
         new = materialize(small_star(large_star(edges)), "edges")
         discard(edges)
         edges = new
@@ -43,4 +43,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {most} turns")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

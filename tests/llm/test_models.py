@@ -87,7 +87,7 @@ def brute_join(texts, similarity, size=5):
     return {i: (find(i), links[i]) for i in ids}
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket": 2, "levels": 2, "block": 6}, {"bucket": 1, "levels": 1, "block": 1000, "block_shingles": 500}])
+@pytest.mark.parametrize("options", [{}, {"bucket": 2, "depth": 2, "block": 6}, {"bucket": 1, "depth": 1, "block": 1000, "block_shingles": 500}])
 def test_join(spark, options):
     rng = random.Random(2)
     fresh = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
@@ -113,18 +113,55 @@ def test_link_counts_in_strips():
         s[rng.integers(0, 60, 3)] = rng.integers(0, 2**63, 3).astype(np.uint64)
         sets.append(np.unique(s))
     n, weight = len(sets), rng.integers(1, 4, 1500)
-    earlier = rng.integers(0, 3, (n, 2))
+    earlier = [np.flatnonzero(x) + 1 for x in rng.random((n, 6)) < 0.2]
     links, rows, root = ngram_join.link_counts(sets, np.zeros(n, int), weight, earlier, 0.8)
     for i in rng.integers(0, n, 8).tolist():
         linked = []
         for j in range(n):
             common = len(np.intersect1d(sets[i], sets[j]))
-            met = ((earlier[i] == earlier[j]) & (earlier[i] != 0)).any()
+            met = len(np.intersect1d(earlier[i], earlier[j])) > 0
             if j != i and not met and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
                 linked.append(j)
         assert links[i] == len(linked) and rows[i] == weight[linked].sum() and all(root[j] == root[i] for j in linked)
 
 
+def test_sketches_agree_as_often_as_sets_are_alike():
+    rng = np.random.default_rng(8)
+    for n, share in ((5, 0.8), (20, 0.8), (400, 0.8), (400, 0.5)):
+        agree = []
+        for _ in range(300):
+            common = max(1, round(n * 2 * share / (1 + share)))
+            a, b, c = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (common, n - common, n - common))
+            agree.append((ngram_join.sketch(np.append(a, b)) == ngram_join.sketch(np.append(a, c))).mean())
+        assert np.mean(agree) == pytest.approx(common / (2 * n - common), abs=0.04)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs hardly above the threshold among many documents that share passages, with the recall that the query asks for."""
+    rng = random.Random(12)
+    passage = [[f"p{k}x{i}" for i in range(30)] for k in range(4)]
+    texts, pairs = [], []
+    for k in range(500):
+        w = [f"u{rng.randint(0, 10**9)}" for _ in range(16)] + passage[k % 4]
+        rng.shuffle(w) if k % 5 == 0 else None
+        other = list(w)
+        other[0], other[8] = f"n{k}", f"m{k}"  # 6 of 42 shingles differ: a similarity of 0.75; one change: above 0.8
+        other[8] = w[8] if k % 2 else other[8]
+        pairs.append((2 * k, 2 * k + 1))
+        texts += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    want = brute_join(texts, 0.8)
+    got = {r.doc_id: r.n_links for r in ngram_join.find_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), bucket=3).collect()}
+    total = sum(n for _, n in want.values())
+    assert total >= 500 and sum(got.values()) >= 0.98 * total and all(got[i] <= want[i][1] for i in got)
+
+
+def test_a_group_keeps_one_row(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    d = spark.createDataFrame([(5, base), (5, base + " more"), (9, base), (None, "a b c"), (None, "A B c"), (7, None), (8, "")], "doc_id long, text string")
+    kept = ngram_join.keep_one(d).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [5, 7, 8] and len(kept) == 4
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)]
