@@ -1,8 +1,8 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation, in numpy.
 
 Tokens are A-Z lower-cased words between white space, and one end for each text. Exact counts of all training tokens are
-made block by block: a block is about ``BLOCK_BYTES`` of documents by hash, it sends each of its distinct tokens once, and
-gets their corpus counts back for scoring; no table of all words has to fit anywhere.
+made block by block: a block is about ``BLOCK_BYTES`` of documents by hash, written as one row of a table; it sends each of its
+distinct tokens once, and gets their corpus counts back for scoring; no table of all words has to fit anywhere.
 
 The vocabulary grows with the corpus: its ``WORDS + GROW * sqrt(tokens)`` commonest words are classes of their own, and all
 other words are dealt by hash over about a quarter as many classes, so every word tells as a context and as a target. A word of a
@@ -11,12 +11,12 @@ hash class has the probability of its class times its share (count + 1) of that
 The network scores a class after the two tokens before: the context's representation is ``C1 r(w1) + C2 r(w2)``, the score of
 w is its product with ``q(w)`` plus a bias. Classes are put in about sqrt(classes) groups by rank, and groups are scored in
 the same way. A token's probability is that of its group times that of its class among the group's classes; both are
-normalised exactly, so token log-probabilities are. Training reads all training documents; every partition runs
-noise-contrastive steps for classes and groups with noise from the unigram distribution, and the parameters are averaged by
-tokens after each round.
+normalised exactly, so token log-probabilities are. Training reads all training documents; every block runs noise-contrastive
+steps for classes and groups with noise from the unigram distribution, and the parameters are averaged by tokens after each
+round. Blocks and the order in them follow from the documents alone, so scores do not depend on partitions or cores.
 
 Defined results: null and empty texts are one end; without training tokens every count is 0; repeated rows train and are
-scored each; an empty table gives an empty result; input columns named like a result column are replaced.
+scored each (rows equal in id and text that are together larger than a block are dealt to blocks by their place in the input); an empty table gives an empty result; input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ from .tokens import BLANK, words
 
 WORDS, WIDTH, ROUNDS, BATCH, NOISE, RATE = 1024, 24, 2, 4096, 64, 0.3
 GROW, CHUNK = 4, 1 << 15
-BLOCK_BYTES, FAN, FAN_BYTES = 16 << 20, 64, 128 << 20
+#: Bytes of a block; blocks, and their least bytes, where there is less text than so many of them would hold.
+BLOCK_BYTES, FEW_BLOCKS, LEAST_BYTES = 16 << 20, 32, 512 << 10
+FAN, FAN_BYTES = 64, 128 << 20
 #: The end token's key; no word hashes are compared with it on purpose.
 END = np.uint64(0xE4D0F7E8)
 
@@ -184,40 +186,68 @@ def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return r[at], np.add.reduceat(values[order], at, axis=0)
 
 
-def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with _block: at most about ``block_bytes`` of text each, by a hash of id and text, and no fewer blocks than keep
-    all cores busy."""
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_or_empty())), F.lit(0))).first()[0]
-    blocks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // block_bytes))
-    return put(docs, _block=F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+def block_table(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, rows): ``docs`` with _train in blocks of about ``block_bytes`` of text by a hash of id and text, in its order."""
+    docs = put(docs, _train=F.coalesce(train, F.lit(False)), _h=F.xxhash64("doc_id", "text"))
+    size = F.octet_length(text_or_empty()).cast("long")
+    total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    blocks = max(1, min(FEW_BLOCKS, total // LEAST_BYTES), -(-total // block_bytes))
+    at = F.pmod("_h", F.lit(blocks))
+    if blocks > 1:
+        # at most total / block_bytes keys
+        hot = docs.groupBy("_h").agg(F.sum(size + 1).alias("b")).filter(F.col("b") > block_bytes).select(F.col("_h").alias("_hot"))
+        docs = docs.join(F.broadcast(hot), F.col("_h") == F.col("_hot"), "left")
+        at = F.when(F.col("_hot").isNull(), at).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
+        docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "_hot"], at.cast("int").alias("_block"))
+    else:
+        docs = put(docs, _block=at.cast("int"))
+    fields = [f for f in docs.schema.fields if f.name not in ("_h", "_block")]
+    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("rows", T.ArrayType(T.StructType(fields)))])
+    arrow = to_arrow_schema(T.StructType(fields))
+
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        h = table.column("_h").combine_chunks().to_numpy()
+        table = table.select([f.name for f in arrow]).take(np.argsort(h, kind="stable")).combine_chunks()
+        columns = [table.column(f.name).chunk(0).cast(f.type) if len(h) else pa.array([], f.type) for f in arrow]
+        rows = pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), pa.StructArray.from_arrays(columns, fields=list(arrow)))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "rows": rows})
 
+    ship(docs.sparkSession.sparkContext)
+    return materialize(docs.groupBy("_block").applyInArrow(pack, schema), "blocks")
 
-def block_tokens(docs: DataFrame) -> DataFrame:
-    """(block, token, n) of the distinct tokens of each block, n being their number in training texts; ``docs`` has _block,
-    _train and text."""
 
-    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, numbers = [], []
-        for part in table.select(["text", "_train"]).to_batches():
-            learn = np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool)
-            for _, doc, key_ in token_keys(part.column(0)):
-                u, back = np.unique(key_, return_inverse=True)
-                keys.append(u)
-                numbers.append(np.bincount(back, learn[doc], len(u)))
-        every, back = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(back, np.concatenate(numbers), len(every)).astype(np.int64)
-        return pa.table({"block": pa.array(np.full(len(every), key[0].as_py(), np.int32)), "token": pa.array(every.view(np.int64)), "n": pa.array(n)})
+def _each_block(batch: pa.RecordBatch) -> Iterator[tuple[int, list[pa.Array]]]:
+    """(block, flat columns) of each row of a batch: its first column is the block, the others are lists."""
+    for k in range(batch.num_rows):
+        yield batch.column(0)[k].as_py(), [c.slice(k, 1).flatten() for c in batch.columns[1:]]
 
-    ship(docs.sparkSession.sparkContext)
-    return docs.select("_block", "_train", "text").groupBy("_block").applyInArrow(count, "block int, token long, n long")
+
+def block_tokens(table: DataFrame) -> DataFrame:
+    """(block, token, n) of the distinct tokens of each block, n being their number in training texts."""
+
+    def run(batches):
+        for batch in batches:
+            for block, (text, learn) in _each_block(batch):
+                learn = learn.to_numpy(zero_copy_only=False).astype(bool)
+                keys, numbers = [np.zeros(0, np.uint64)], [np.zeros(0)]
+                for _, doc, key in token_keys(text):
+                    u, back = np.unique(key, return_inverse=True)
+                    keys.append(u)
+                    numbers.append(np.bincount(back, learn[doc], len(u)))
+                every, back = np.unique(np.concatenate(keys), return_inverse=True)
+                n = np.bincount(back, np.concatenate(numbers), len(every)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(every), block, np.int32)), pa.array(every.view(np.int64)), pa.array(n)], names=["block", "token", "n"])
+
+    return map_arrow(table.select("block", F.col("rows.text"), F.col("rows._train")), run, "block int, token long, n long")
 
 
 class Counts:
     """Exact counts of training tokens, as a table by block of the tokens found there, with the corpus sums."""
 
     def __init__(self, docs: DataFrame, train: Column, words_: int | None = None, block_bytes: int = BLOCK_BYTES):
-        self.docs = put(blocked(docs, block_bytes), _train=F.coalesce(train, F.lit(False)))
-        self.per_block = materialize(block_tokens(self.docs), "block_tokens")
+        self.columns = list(docs.columns)
+        self.blocks = block_table(docs, train, block_bytes)
+        self.per_block = materialize(block_tokens(self.blocks), "block_tokens")
         self.counts = materialize(self.per_block.filter("n > 0").groupBy("token").agg(F.sum("n").alias("c")), "token_counts")
         n, v = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         self.tokens, self.distinct = int(n), int(v)
@@ -243,37 +273,39 @@ class Counts:
 
 
 def train(counts: Counts, rounds: int = ROUNDS) -> Network:
-    """A network trained on all training documents; partitions learn apart and are averaged by tokens."""
+    """A network trained on all training documents; blocks learn apart and are averaged by tokens."""
     net = Network(counts.keys, counts.noise)
-    sc = counts.docs.sparkSession.sparkContext
-    texts = counts.docs.filter("_train").select("text")
-    size = len(net.flat())
+    sc = counts.blocks.sparkSession.sparkContext
+    texts = counts.blocks.select("block", F.col("rows.text"), F.col("rows._train"))
+    size, blocks = len(net.flat()), counts.blocks.count()
     for turn in range(rounds):
         shared = sc.broadcast((net.keys, net.noise, net.flat()))
 
         def learn(batches, shared=shared, turn=turn):
             keys, noise, flat = shared.value
             own = Network(keys, noise)
-            own.set_flat(flat)
 
-            def parts():
-                for b in batches:
-                    for _, doc, key in token_keys(b.column(0)):
-                        yield own.classes(doc, key)
+            def parts(text):
+                for _, doc, key in token_keys(text):
+                    yield own.classes(doc, key)
 
-            n = own.train(parts(), seed=turn)
-            if n:
-                yield _row(TaskContext.get().partitionId(), n, own.flat() - flat)
+            for batch in batches:
+                for block, (text, train_) in _each_block(batch):
+                    own.set_flat(flat)
+                    n = own.train(parts(text.filter(train_)), seed=turn + rounds * block)
+                    if n:
+                        yield _row(block, n, own.flat() - flat)
 
         def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             total, n = np.zeros(size), 0
+            table = table.sort_by("part")  # sums in an order of their own
             for x, k in zip(table.column("delta"), table.column("n").to_pylist(), strict=True):
                 total += np.frombuffer(x.as_buffer(), np.float16).astype(float) * k
                 n += k
             return pa.Table.from_batches([_row(key[0].as_py(), n, total / n)])
 
         schema = "part int, n long, delta binary"
-        sums, wide = map_arrow(texts, learn, schema), max(2, texts.rdd.getNumPartitions())
+        sums, wide = map_arrow(texts, learn, schema), max(2, blocks)
         fan = max(2, min(FAN, FAN_BYTES // (2 * size)))
         while wide > 1:  # a tree of means: no task adds more than fan parameter sets
             sums = sums.withColumn("part", F.expr(f"part div {fan}").cast("int")).groupBy("part").applyInArrow(add, schema)
@@ -294,10 +326,10 @@ _FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.L
 
 def score(counts: Counts, net: Network) -> DataFrame:
     """The documents of ``counts`` with n_tokens, n_known, train_tokens, base_score (add-one unigram) and score, both log10."""
-    docs = counts.docs
-    sc = docs.sparkSession.sparkContext
+    sc = counts.blocks.sparkSession.sparkContext
     names = {f.name for f in _FIELDS}
-    kept = [f for f in docs.schema.fields if f.name not in names and f.name not in ("_block", "_train")]
+    inside = counts.blocks.schema["rows"].dataType.elementType
+    kept = [inside[c] for c in counts.columns if c not in names]
     schema = T.StructType([*kept, *_FIELDS])
     columns = [f.name for f in kept]
     shared = sc.broadcast(net)
@@ -314,10 +346,11 @@ def score(counts: Counts, net: Network) -> DataFrame:
         order = np.argsort(token)
         token, c = token[order], c[order]
         out = []
-        for part in left.to_batches():
+        for rows in left.column("rows").chunks:
+            part = pa.RecordBatch.from_struct_array(rows.flatten())
             n = part.num_rows
             got = np.zeros((4, n))
-            for _, doc, key in token_keys(part.column(part.schema.names.index("text"))):
+            for _, doc, key in token_keys(part.column("text")):
                 unique, back = np.unique(key, return_inverse=True)
                 at = np.searchsorted(token, unique)
                 at[at == len(token)] = 0
@@ -330,12 +363,12 @@ def score(counts: Counts, net: Network) -> DataFrame:
                 for i, x in enumerate((None, (own_c > 0)[back], base, log_p)):
                     got[i] += np.bincount(doc, x, n)
             made = [pa.array(got[0].astype(np.int64)), pa.array(got[1].astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(got[2]), pa.array(got[3])]
-            out.append(pa.RecordBatch.from_arrays([*[part.column(part.schema.names.index(x)).cast(arrow.field(x).type) for x in columns], *made], schema=arrow))
+            out.append(pa.RecordBatch.from_arrays([*[part.column(x).cast(arrow.field(x).type) for x in columns], *made], schema=arrow))
         return pa.Table.from_batches(out)
 
     ship(sc)
-    known = counts.per_block.select("block", "token").join(counts.counts, "token").select(F.col("block").alias("_block"), "token", "c")
-    return docs.drop("_train").groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(of_block, schema)
+    known = counts.per_block.select("block", "token").join(counts.counts, "token").select("block", "token", "c")
+    return counts.blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(of_block, schema)
 
 
 def op8_log_bilinear_scores(spark, sf_dir: str) -> DataFrame:

@@ -151,7 +151,7 @@ def _leaves(classes: DataFrame, runs: int, similarity: float, depth: int, bucket
         done = ended if done is None else done.unionByName(ended)
         if last or large.isEmpty():
             break
-        rows = large.select("_set", "_size", "path").join(classes.select("_set", "_sketch"), "_set")
+        rows = large.select("_set", "_size", "path").join(classes.select("_set", "_sketch").hint("merge"), "_set")
     return done
 
 
@@ -393,9 +393,9 @@ def join_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     classes = sets.groupBy("_set").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_docs"), F.first("_size").alias("_size"), F.first("_sketch").alias("_sketch"), F.first("text").alias("text"))
     classes = materialize(classes, "classes")
     tasks = _tasks(_leaves(classes.select("_set", "_size", "_sketch"), runs, similarity, depth, bucket), block, block_shingles)
-    ready = tasks.join(classes.select("_set", "_size", "_sketch"), "_set").repartition(*_TASK).sortWithinPartitions(*_TASK)
+    ready = tasks.join(classes.select("_set", "_size", "_sketch").hint("merge"), "_set").repartition(*_TASK).sortWithinPartitions(*_TASK)
     good = materialize(_promising(ready, similarity), "promising")
-    ready = good.join(classes.select("_set", "n_docs", "text"), "_set").repartition(*_TASK).sortWithinPartitions(*_TASK)
+    ready = good.join(classes.select("_set", "n_docs", "text").hint("merge"), "_set").repartition(*_TASK).sortWithinPartitions(*_TASK)
     found = materialize(_compare(ready, similarity, size), "links")
     discard(good)
     totals = found.groupBy("_set").agg(F.sum("links").alias("links"), F.sum("rows").alias("linked_docs"))
