@@ -1,11 +1,12 @@
 """Removal of benchmark passages: windows of training words against a broadcast hash set of benchmark n-grams.
 
 Words are lower-cased (A-Z) runs of ASCII letters and digits and of all non-ASCII characters. The windows of the
-benchmark items go to every worker as sorted 64-bit hashes with the window's words; the windows of a document are
-hashed batch by batch with numpy, looked up, and every hit is compared word by word before it counts.
+benchmark items go to every worker as arrays: sorted 64-bit hashes, the item of each, and its place in the items' words; the
+windows of a document are hashed batch by batch with numpy, looked up, and every hit is compared word by word before it counts.
 
-The benchmark is broadcast only in groups of at most ``GROUP_BYTES`` of text; a larger one is worked off in several
-rounds, each reading the marks of the former, so no broadcast grows with the data.
+The benchmark is broadcast only in groups of at most ``GROUP_BYTES`` of text (a window takes 28 bytes beside the text, so a
+group holds at most about 14 times its text, when all words are of one letter, and 5 times for ordinary words); a larger one is
+worked off in several rounds, each reading the marks of the former, so no broadcast grows with the data.
 
 Defined results: null texts and texts without words have no words and no hits; an item with fewer words than a window
 is one window; an item without words never occurs; repeated items all count, by their ids; an empty benchmark or
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import add_by_arrow, shielded
-from .storage import materialize
+from .storage import discard, materialize
 from .tokens import ALNUM, buffers, lowered, windows, words
 
 WINDOW = 10
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 16 << 20
 _FIELDS = [
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
@@ -35,27 +36,53 @@ _FIELDS = [
 
 
 class NgramSet:
-    """Windows of benchmark items: for every window length the sorted hashes, the words and the items of each hash."""
+    """Windows of benchmark items: for every window length the sorted hashes, and the item and the bytes of each."""
 
     def __init__(self, items: list[tuple[str, str | None]], size: int):
-        self.size = size
-        self.by_length: dict[int, tuple[np.ndarray, dict[int, list[tuple[bytes, frozenset[int]]]]]] = {}
-        self.names = [i for i, _ in items]
-        found: dict[int, dict[int, dict[bytes, set[int]]]] = {}
+        self.size, self.names = size, [i for i, _ in items]
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         column = pa.array([t for _, t in items], pa.string())
         data, _ = buffers(column)
-        raw = data.tobytes()
+        said, found, before = [], {}, 0
         for w in words(column, ALNUM):
-            for k in range(w.first, w.last):
-                lo, hi = np.searchsorted(w.doc, [k, k + 1])
-                n = min(size, int(hi - lo))
-                if not n:
-                    continue
-                for j, h in enumerate(windows(w.hash[lo:hi], n).tolist()):
-                    said = _joined(raw, w.start[lo + j : lo + j + n], w.end[lo + j : lo + j + n])
-                    found.setdefault(n, {}).setdefault(h, {}).setdefault(said, set()).add(k)
-        for n, table in found.items():
-            self.by_length[n] = (np.array(sorted(table), np.uint64), {h: [(s, frozenset(k)) for s, k in x.items()] for h, x in table.items()})
+            if not len(w.hash):
+                continue
+            length = w.end - w.start
+            place = np.cumsum(length + 1) - (length + 1)
+            text = np.append(data, np.uint8(32))[np.repeat(w.start - place, length + 1) + np.arange(int((length + 1).sum()))]
+            text[place + length] = 32
+            said.append(_LOWER[text])
+            per = np.bincount(w.doc - w.first, minlength=w.last - w.first)
+            for n in np.unique(np.minimum(per[per > 0], size)).tolist():
+                h = windows(w.hash, n)
+                i = np.flatnonzero((w.doc[: len(h)] == w.doc[n - 1 :]) & (np.minimum(per, size)[w.doc[: len(h)] - w.first] == n))
+                found.setdefault(n, []).append((h[i], w.doc[i].astype(np.int32), place[i] + before, place[i + n - 1] + length[i + n - 1] + before))
+            before += len(text)
+        self.text = np.concatenate([*said, np.zeros(0, np.uint8)])
+        for n, parts in found.items():
+            h, item, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.by_length[n] = h[order], item[order], start[order], end[order]
+        self._bits: dict[int, np.ndarray] | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_bits": None}
+
+    def bits(self, n: int) -> np.ndarray:
+        """A bitmap of hash prefixes, made once in a process."""
+        self._bits = {} if self._bits is None else self._bits
+        if n not in self._bits:
+            self._bits[n] = _bitmap(self.by_length[n][0])
+        return self._bits[n]
+
+    def items(self, n: int, h: np.uint64, own: bytes) -> set[int]:
+        """Items with this window."""
+        table, item, start, end = self.by_length[n]
+        lo, hi = np.searchsorted(table, h), np.searchsorted(table, h, "right")
+        return {int(item[k]) for k in range(lo, hi) if self.text[start[k] : end[k]].tobytes() == own}
+
+
+_LOWER = np.frombuffer(lowered(bytes(range(256))), np.uint8)
 
 
 def _joined(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -76,7 +103,7 @@ def _bitmap(table: np.ndarray) -> np.ndarray:
     return bits
 
 
-def _scan(column: pa.Array, grams: NgramSet, bitmaps: dict[int, np.ndarray]):
+def _scan(column: pa.Array, grams: NgramSet):
     """For each text: words, and the (start, end) bytes of merged hits and item numbers."""
     data, offsets = buffers(column)
     n_words, n_hit = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
@@ -85,18 +112,18 @@ def _scan(column: pa.Array, grams: NgramSet, bitmaps: dict[int, np.ndarray]):
     for w in words(column, ALNUM):
         n_words[w.first : w.last] = np.bincount(w.doc - w.first, minlength=w.last - w.first)
         marks = np.zeros(len(w.hash) + 1, np.int64)
-        for n, (table, said) in grams.by_length.items():
+        for n, (table, *_) in grams.by_length.items():
             h = windows(w.hash, n)
-            for i in _member(h, table, bitmaps[n]).tolist():
+            for i in _member(h, table, grams.bits(n)).tolist():
                 d = int(w.doc[i])
                 if d != w.doc[i + n - 1]:
                     continue
                 own = _joined(data[w.start[i] : w.end[i + n - 1]].tobytes(), w.start[i : i + n] - w.start[i], w.end[i : i + n] - w.start[i])
-                for text, who in said[int(h[i])]:
-                    if text == own:
-                        marks[i] += 1
-                        marks[i + n] -= 1
-                        items[d] |= who
+                who = grams.items(n, h[i], own)
+                if who:
+                    marks[i] += 1
+                    marks[i + n] -= 1
+                    items[d] |= who
         hit = np.cumsum(marks[:-1]) > 0
         if hit.any():
             at = np.flatnonzero(hit)
@@ -126,9 +153,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     for r in range(rounds):
         part = items if rounds == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(rounds)) == r)
         grams = sc.broadcast(NgramSet([(x.i if x.i is not None else "", x.t) for x in part.select("i", "t").collect()], window))
-        out = _round(out, at, grams, r)
+        last, out = out, _round(out, at, grams, r)
         if r + 1 < rounds:
             out = materialize(out, "marks")
+            grams.unpersist()
+            if r:
+                discard(last)
     return out
 
 
@@ -139,7 +169,7 @@ def _round(out: DataFrame, at: int, grams, number: int) -> DataFrame:
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         g = grams.value
-        n_words, n_hit, items, spans = _scan(batch.column(at), g, {n: _bitmap(t) for n, (t, _) in g.by_length.items()})
+        n_words, n_hit, items, spans = _scan(batch.column(at), g)
         ids = [sorted({g.names[k] for k in x}) for x in items]
         if before:
             ids = [sorted({*x, *y}) for x, y in zip(ids, batch.column(before[2]).to_pylist(), strict=True)]

@@ -6,8 +6,9 @@ unknown word is cut into n-grams of the longest length, and if none of them is k
 single characters; the scores of its known n-grams are averaged. A language's score is the mean over all words.
 
 Words are runs of letters and marks, lower-cased. The sample for fitting has at most ``SAMPLE`` documents of each language of
-at most ``SAMPLE_BYTES``; the tables keep the ``WORDS`` commonest words and ``GRAMS`` commonest n-grams, so a model has a
-bounded size. Prediction reads every whole text.
+at most ``SAMPLE_BYTES``. The tables keep ``WORDS`` words, and ``GRAMS`` n-grams of each length, found at least ``LEAST`` times
+(together over all languages); every language has an equal share of them for its own commonest, so a model has a bounded size
+and no language takes another's room. Prediction reads every whole text; scores of words are kept by a 64-bit hash of the word.
 
 Defined results: a text without letters, a null text and any text under a model without languages is ``und`` with
 score 0; ties go to the first language in code point order; the score is the probability that the word scores give the
@@ -17,12 +18,13 @@ replaced.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,7 +73,9 @@ class Model:
             whole = Counter()
             for t in tables:
                 whole.update(t)
-            kept = sorted((w for w, c in whole.items() if c >= LEAST), key=lambda w: (-whole[w], w))[:most]
+            kept: dict[str, None] = {}
+            for t in tables:  # every language's commonest
+                kept |= dict.fromkeys(heapq.nsmallest(-(-most // len(tables)), (w for w in t if whole[w] >= LEAST), key=lambda w: (-t[w], w)))
             sums = np.array([max(1, sum(t.values())) for t in tables], float)
             unseen = np.log10(sums) + 1  # as if found a tenth of a time
             out = {}
@@ -166,8 +170,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
     table = map_arrow(few, count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # at most 4 x WORDS rows come to the driver, however many languages there are
-    table = table.orderBy(F.col("n").desc(), "lang", "word").limit(4 * WORDS)
+    # about 2 x WORDS rows come to the driver, however many languages there are: an equal share of each, the commonest first
+    share = max(1, 2 * WORDS // max(1, len(counts)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    table = table.withColumn("_rank", rank).filter(F.col("_rank") <= share)
     by_word: dict[str, Counter] = {}
     for lang, word, n in zip(*table.select("lang", "word", "n").toArrow().to_pydict().values(), strict=True):
         by_word.setdefault(lang, Counter())[word] = n

@@ -23,6 +23,8 @@ from .storage import materialize
 
 KEY_BITS = 60
 SHARD_BYTES = 64 << 20
+#: The limit of the query, at which small tables split too.
+QUERY_BYTES = 1 << 20
 _STEP = 10
 
 
@@ -96,7 +98,7 @@ def _numbered(out: DataFrame, limit: int) -> DataFrame:
 
 def op1_extendible_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return shard(docs).select("doc_id", "shard_id", "local_depth", "overflow_page", "shard_bytes", "shard_docs")
+    return shard(docs, QUERY_BYTES).select("doc_id", "shard_id", "local_depth", "overflow_page", "shard_bytes", "shard_docs")
 
 
 ORACLE = f"""
@@ -108,7 +110,7 @@ p AS (SELECT depth, h >> ({KEY_BITS} - depth) AS prefix, sum(bytes) AS b, count(
       FROM d, generate_series(0, 30) g(depth) GROUP BY 1, 2),
 leaf AS (
   SELECT d.doc_id, d.h, min(depth) AS depth
-  FROM d, p WHERE p.prefix = d.h >> ({KEY_BITS} - depth) AND (b <= {SHARD_BYTES} OR n = 1) GROUP BY ALL)
+  FROM d, p WHERE p.prefix = d.h >> ({KEY_BITS} - depth) AND (b <= {QUERY_BYTES} OR n = 1) GROUP BY ALL)
 SELECT doc_id, CASE WHEN l.depth = 0 THEN '*' ELSE lpad(bin(p.prefix), l.depth::INTEGER, '0') END AS shard_id,
        l.depth::INTEGER AS local_depth, 0::BIGINT AS overflow_page, b::BIGINT AS shard_bytes, n::BIGINT AS shard_docs
 FROM leaf l JOIN p ON p.depth = l.depth AND p.prefix = l.h >> ({KEY_BITS} - l.depth)

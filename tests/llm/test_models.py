@@ -193,6 +193,60 @@ def test_language_backs_off(spark):
     assert m.word("7") is None
 
 
+def test_languages_by_brute_force():
+    """Whole predictions from word scores that are looked up one by one in plain dictionaries."""
+    rng = random.Random(11)
+    syllables = {"aa": ["ka", "lo", "mi", "é"], "bb": ["ten", "sor", "lo", "ß"], "cc": ["да", "нет", "ми"]}
+    word = lambda k: "".join(rng.choice(syllables[k]) for _ in range(rng.randint(1, 4)))
+    by = {k: Counter(word(k) for _ in range(300)) for k in syllables}
+    model = language_id.Model.of_counts(by)
+    texts = [" ".join(word(rng.choice(k)) for _ in range(rng.randint(1, 30))) + rng.choice(["", " zzz!", " 12", ", Ka-LO"]) for k in rng.choices([["aa"], ["bb"], ["cc"], ["aa", "bb"]], k=200)] + ["", "12 34", "...", None]
+
+    def logs(tables, w):
+        whole = sum(t[w] for t in tables)
+        if whole < language_id.LEAST:
+            return None
+        sums = [sum(t.values()) for t in tables]
+        return [math.log10(t[w] / n) if t[w] else -math.log10(n) - 1 for t, n in zip(tables, sums, strict=True)]
+
+    names = sorted(by)
+    words_ = [by[k] for k in names]
+    cut = {n: [Counter() for _ in names] for n in range(1, language_id.LONGEST + 1)}
+    for n, tables in cut.items():
+        for t, own in zip(tables, words_, strict=True):
+            for w, c in own.items():
+                for g in language_id.grams(w, n):
+                    t[g] += c
+            t.pop(" ", None)
+
+    def score(w):
+        own = logs(words_, w)
+        for n in range(language_id.LONGEST, 0, -1):
+            if own is not None:
+                return own
+            found = [x for x in (logs(cut[n], g) for g in language_id.grams(w, n) if g != " ") if x]
+            own = [sum(c) / len(found) for c in zip(*found, strict=True)] if found else None
+        return own
+
+    got, p = model.predict(pa.array(texts))
+    for t, lang, q in zip(texts, got, p.tolist(), strict=True):
+        scores = [x for x in map(score, re.findall(r"[^\W\d_]+", (t or "").lower())) if x]
+        if not scores:
+            assert lang == "und" and q == 0 or t
+            continue
+        mean = [sum(c) / len(scores) for c in zip(*scores, strict=True)]
+        best = max(range(len(names)), key=lambda k: (mean[k], -k))
+        e = [math.exp((m - mean[best]) * math.log(10) * min(len(scores), language_id.EVIDENCE)) for m in mean]
+        assert lang == names[best] and q == pytest.approx(1 / sum(e), rel=1e-3)
+
+
+def test_a_small_language_keeps_its_words(monkeypatch):
+    monkeypatch.setattr(language_id, "WORDS", 40)
+    by = {"big": Counter({f"big{k}": 1000 - k for k in range(200)}), "small": Counter({f"klein{k}": 2 for k in range(20)})}
+    known = language_id.Model.of_counts(by).known
+    assert sum(w.startswith("klein") for w in known) == 20 == sum(w.startswith("big") for w in known)
+
+
 def test_language_model(spark):
     rng = random.Random(6)
     follow = {"a": "bc", "b": "a", "c": "d", "d": "ab"}
