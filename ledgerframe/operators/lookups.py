@@ -58,3 +58,8 @@ def unpivot_counts(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
     """Rows of every value of several dimensions, in one aggregation."""
     pairs = F.array(*[F.struct(F.lit(d).alias("dim"), c.cast("string").alias("key")) for d, c in dims.items()])
     return df.select(F.explode(pairs).alias("x")).groupBy("x.dim", "x.key").agg(F.count("*").alias("n"))
+
+
+def fan_out(networks: dict[str, DataFrame], question, name: str = "network") -> DataFrame:
+    """The answers of all networks to one question (a function of their rows), each with its network's name."""
+    return reduce(DataFrame.unionByName, [question(df).select(F.lit(n).alias(name), "*") for n, df in networks.items()])

@@ -50,5 +50,10 @@ def mint_ordinals(events: DataFrame, base: DataFrame, key: str = "asset_id") ->
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of one side only, counted: (side, n); equal states give 0 and 0."""
-    return left.exceptAll(right).agg(F.count("*").alias("n")).select(F.lit("left").alias("side"), "n").union(right.exceptAll(left).agg(F.count("*").alias("n")).select(F.lit("right").alias("side"), "n"))
+    """(side, n, total): rows that one side has more often than the other, and all rows of the side; equal states give 0 and 0."""
+    columns = left.columns
+    both = left.withColumn("_l", F.lit(1)).withColumn("_r", F.lit(0)).unionByName(right.withColumn("_l", F.lit(0)).withColumn("_r", F.lit(1)))
+    per = both.groupBy(*columns).agg(F.sum("_l").alias("l"), F.sum("_r").alias("r"))
+    more = lambda a, b: F.coalesce(F.sum(F.greatest(F.lit(0), F.col(a) - F.col(b))), F.lit(0))
+    sums = per.agg(F.array(F.struct(F.lit("left").alias("side"), more("l", "r").alias("n"), F.coalesce(F.sum("l"), F.lit(0)).alias("total")), F.struct(F.lit("right").alias("side"), more("r", "l").alias("n"), F.coalesce(F.sum("r"), F.lit(0)).alias("total"))).alias("x"))
+    return sums.select(F.inline("x"))

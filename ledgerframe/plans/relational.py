@@ -93,13 +93,10 @@ def asof_version(spark, d):
 
 
 @query(_ASOF)
-def asof_version_lateral(spark, d):
+def asof_version_buckets(spark, d):
+    """The same with time cut into 16 buckets, as for busy keys."""
     clicks, versions = _versions(spark, d)
-    clicks.createOrReplaceTempView("_clicks")
-    versions.createOrReplaceTempView("_versions")
-    return spark.sql("""SELECT c.user_id, c.event_id, c.value, v.version, v.version_value FROM _clicks c LEFT JOIN LATERAL (
-        SELECT max_by(struct(version, version_value), struct(ts, version)) AS x FROM _versions s WHERE s.user_id = c.user_id AND s.ts <= c.ts) ON true
-        LATERAL VIEW OUTER explode(array(x)) AS v""")
+    return asof.asof_join(clicks, versions, ["user_id"], "ts", "ts", ["version"], ["version", "version_value"], buckets=16).select("user_id", "event_id", "value", "version", "version_value")
 
 
 @query("""WITH s AS (SELECT user_id, ts, event_id AS version, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_type = 'signup')
@@ -338,15 +335,8 @@ def rex_split(spark, d):
     return rex.split(o, "o_custkey", "units", "matures", now="1995-06-30", savings_from="1998-01-01", lendable=10007, total=9973)
 
 
-@query("WITH o AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 <> 777), g AS (SELECT o_orderkey, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS island FROM o) SELECT max(o_orderkey) AS watermark, count(*) AS ranges FROM g WHERE island = (SELECT min(island) FROM g)")
-def watermark_islands(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 1000 <> 777").select(F.col("o_orderkey").alias("s"), F.col("o_orderkey").alias("e"))
-    return grouping.contiguous_watermark(o, "s", "e")
-
-
 @query("WITH g AS (SELECT o_orderkey, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS island FROM orders) SELECT max(o_orderkey) AS watermark, count(*) AS ranges FROM g WHERE island = (SELECT min(island) FROM g)")
-def watermark_whole(spark, d):
-    """``watermark_islands`` over all orders."""
+def watermark_islands(spark, d):
     return grouping.contiguous_watermark(table(spark, d, "orders").select(F.col("o_orderkey").alias("s"), F.col("o_orderkey").alias("e")), "s", "e")
 
 
@@ -373,9 +363,17 @@ def overlay_state(spark, d):
     return overlay.current_state(_events(spark, d))
 
 
-@query(f"WITH {_overlay_sql('AND event_id <= 600')} SELECT asset_id, owner, data, template, block FROM s")
+_HALF = "AND event_id <= (SELECT max(event_id) // 2 FROM events)"
+
+
+def _half(events) -> int:
+    """The middle of the events' blocks."""
+    return (events.agg(F.max("block")).first()[0] or 0) // 2
+
+
+@query(f"WITH {_overlay_sql(_HALF)} SELECT asset_id, owner, data, template, block FROM s")
 def overlay_rollback(spark, d):
-    return overlay.current_state(_events(spark, d), upto=600)
+    return overlay.current_state(_events(spark, d), upto=_half(table(spark, d, "events").select(F.col("event_id").alias("block"))))
 
 
 @query(f"WITH {_overlay_sql()} SELECT 'owner' AS dim, owner AS key, count(*) AS n FROM s GROUP BY owner UNION ALL SELECT 'data', data, count(*) FROM s GROUP BY data UNION ALL SELECT 'template', CAST(template AS VARCHAR), count(*) FROM s GROUP BY template")
@@ -384,13 +382,15 @@ def overlay_counts(spark, d):
     return lookups.unpivot_counts(s, {"owner": F.col("owner"), "data": F.col("data"), "template": F.col("template")})
 
 
-@query("SELECT 'left' AS side, 0::BIGINT AS n UNION ALL SELECT 'right', 0::BIGINT")
+@query(f"WITH {_overlay_sql()} SELECT side, 0::BIGINT AS n, (SELECT count(*) FROM s) AS total FROM (VALUES ('left'), ('right')) t(side)")
 def compaction_equivalence(spark, d):
+    """The state after a compaction in the middle of the events against a replay of all of them."""
     e = _events(spark, d)
-    half = overlay.compact(e.filter("block <= 500")).drop("ordinal")
+    cut = _half(e)
+    half = overlay.compact(e.filter(F.col("block") <= cut)).drop("ordinal")
     # burned ids of the first half must stay dead: later events on them are dropped with them
-    dead = e.filter("block <= 500 and op = 'burn'").select("asset_id").distinct()
-    after = overlay.current_state(e.filter("block > 500").join(dead, "asset_id", "left_anti"), half)
+    dead = e.filter((F.col("block") <= cut) & (F.col("op") == "burn")).select("asset_id").distinct()
+    after = overlay.current_state(e.filter(F.col("block") > cut).join(dead, "asset_id", "left_anti"), half)
     return overlay.differences(after, overlay.current_state(e))
 
 
@@ -428,9 +428,9 @@ def index_partition(spark, d):
     return table(spark, d, "orders").select("o_orderkey", C.index_name("wax", "action", F.col("o_orderkey"), 1000).alias("index"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity FROM lineitem WHERE l_quantity = floor(l_quantity)")
+@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, CASE WHEN l_extendedprice = floor(l_extendedprice) THEN CAST(CAST(l_extendedprice AS BIGINT) AS VARCHAR) ELSE CAST(l_extendedprice AS VARCHAR) END AS price FROM lineitem")
 def js_number(spark, d):
-    return table(spark, d, "lineitem").filter("l_quantity = floor(l_quantity)").select("l_orderkey", "l_linenumber", C.js_number(F.col("l_quantity")).alias("quantity"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.js_number(F.col("l_quantity").cast("double")).alias("quantity"), C.js_number(F.col("l_extendedprice").cast("double")).alias("price"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey // 2 ELSE -(o_orderkey + 1) // 2 END AS decoded FROM orders")
@@ -503,10 +503,15 @@ def last_write_wins(spark, d):
     return o.withColumn("day", F.to_date("day"))
 
 
-@query("SELECT n_name AS network, count(*) AS accounts, sum(CAST(c_acctbal AS DECIMAL(18,2)))::DECIMAL(28,2) AS total FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+_NETWORKS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "none such")
+
+
+@query(f"SELECT c_mktsegment AS network, n_name AS account, count(*) AS n, sum(CAST(c_acctbal AS DECIMAL(18,2)))::DECIMAL(28,2) AS total FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment IN {_NETWORKS} GROUP BY 1, 2")
 def network_fan_out(spark, d):
-    c = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
-    return c.groupBy(F.col("n_name").alias("network")).agg(F.count("*").alias("accounts"), F.sum(money("c_acctbal")).cast("decimal(28,2)").alias("total"))
+    """One question put to every network and the answers in one list; a network without an answer is left out."""
+    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    answer = lambda net: net.groupBy(F.col("n_name").alias("account")).agg(F.count("*").alias("n"), F.sum(money("c_acctbal")).cast("decimal(28,2)").alias("total"))
+    return lookups.fan_out({name: c.filter(F.col("c_mktsegment") == name) for name in _NETWORKS}, answer)
 
 
 @query("SELECT o_orderkey, dense_rank() OVER (ORDER BY o_custkey)::INTEGER AS group_no FROM orders WHERE o_custkey < 5000 QUALIFY dense_rank() OVER (ORDER BY o_custkey) <= 40")

@@ -1,9 +1,10 @@
-"""Sinks: bulk identifiers, NDJSON, and versioned tables with a pointer that is switched at once."""
+"""Sinks: bulk identifiers, NDJSON, and versioned tables with numbered pointers."""
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,10 @@ def write_sorted(df: DataFrame, path: str, key: list[str], partitions: int) -> N
 
 
 class VersionedTable:
-    """Immutable versions under one root, and a small file that names the current one."""
+    """Immutable versions under one root, and pointers: small numbered files of which the highest counts.
+
+    A pointer appears whole by one rename to a name that no other has, and none is ever changed or taken away first; a reader
+    at any moment, also after a crash between any two steps, finds the last published version."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -40,29 +44,44 @@ class VersionedTable:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str = "CURRENT"):
-        return self._path(f"{self.root}/{name}")
+    def _numbers(self) -> list[int]:
+        """Numbers of all pointers, ascending."""
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(n[8:]) for n in names if n.startswith("CURRENT-") and n[8:].isdigit())
+
+    def _note(self, number: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/CURRENT-{number:012d}").collect()[0].value)
 
     def current(self) -> dict | None:
-        if not self._fs.exists(self._pointer()):
-            return None
-        rows = self.spark.read.text(f"{self.root}/CURRENT").collect()
-        return json.loads(rows[0].value)
+        numbers = self._numbers()
+        return self._note(numbers[-1]) if numbers else None
+
+    def history(self):
+        """Notes of all publications, the newest first."""
+        for n in reversed(self._numbers()):
+            yield self._note(n)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.current()["path"])
 
     def publish(self, df: DataFrame, **notes) -> str:
-        """Writes a new version, then moves the pointer to it in one rename."""
+        """Writes a new version, then makes it the current one by one rename."""
         path = f"{self.root}/v{time.time_ns()}"
         df.write.parquet(path)
-        temp = self._pointer(f"CURRENT.{time.time_ns()}")
+        self.point({"path": path, **notes})
+        return path
+
+    def point(self, note: dict) -> None:
+        """Makes a note the current one; if another writer takes the next number first, the one after it is tried."""
+        temp = self._path(f"{self.root}/.pointer-{uuid.uuid4().hex}")
         out = self._fs.create(temp, True)
-        out.write(bytearray(json.dumps({"path": path, **notes}).encode()))
+        out.write(bytearray(json.dumps(note).encode()))
         out.close()
-        self._fs.delete(self._pointer(), False)
-        self._fs.rename(temp, self._pointer())
-        return path
+        number = (self._numbers() or [0])[-1] + 1
+        while self._fs.exists(target := self._path(f"{self.root}/CURRENT-{number:012d}")) or not self._fs.rename(temp, target):
+            number += 1
 
 
 def bulk_lines(df: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A micro-batch is appended to the log with its batch number, so a replayed batch overwrites itself; the state of any block
 is :func:`ledgerframe.operators.overlay.current_state` over base and log. Readers see the version that the pointer
-names; a compaction publishes the next base and the block it covers, and keeps the later events as the new overlay.
+names; a compaction publishes the next base and the block it covers, and keeps the later events as the new overlay. The newest
+block stays out of it, as more of its events may come. A rollback writes the events that stand to a new generation of the log
+and makes it, and a base not after the block, current by one pointer; older bases and generations stay for readers of them.
 """
 
 from __future__ import annotations
@@ -22,69 +24,90 @@ class LiveStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.base_table = VersionedTable(spark, f"{self.root}/base")
-        self.log_path = f"{self.root}/log"
 
     def start(self, stream: DataFrame, checkpoint: str | None = None):
         """Feeds a stream of events into the log; restarts resume at the checkpoint."""
         return stream.writeStream.foreachBatch(self.append).option("checkpointLocation", checkpoint or f"{self.root}/checkpoint").trigger(availableNow=True).start()
 
+    def _now(self) -> dict:
+        return self.base_table.current() or {}
+
+    def _log_path(self, now: dict) -> str:
+        return f"{self.root}/{now.get('log', 'log')}"
+
     def append(self, batch: DataFrame, number: int) -> None:
-        batch.select([c.split()[0] for c in EVENTS.split(", ")]).write.mode("overwrite").parquet(f"{self.log_path}/batch={number}")
+        batch.select([c.split()[0] for c in EVENTS.split(", ")]).write.mode("overwrite").parquet(f"{self._log_path(self._now())}/batch={number}")
 
-    def log(self, after: int | None = None, upto: int | None = None) -> DataFrame:
+    def log(self, after: int | None = None, upto: int | None = None, now: dict | None = None) -> DataFrame:
         """Events of the log, by default those after the block that the base covers."""
+        now = self._now() if now is None else now
         if after is None:
-            after = (self.base_table.current() or {}).get("block", -1)
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.log_path)
+            after = now.get("block", -1)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._log_path(now))
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             df = self.spark.createDataFrame([], EVENTS)
         else:
-            df = self.spark.read.schema(EVENTS).option("recursiveFileLookup", "true").parquet(self.log_path)
+            df = self.spark.read.schema(EVENTS).option("recursiveFileLookup", "true").parquet(self._log_path(now))
         df = df.filter(F.col("block") > after)
         return df if upto is None else df.filter(F.col("block") <= upto)
 
-    def base(self) -> DataFrame | None:
-        return self.base_table.read() if self.base_table.current() else None
+    def _base_note(self, upto: int | None = None) -> dict:
+        """The current note, with the newest base of this generation of the log that is not after ``upto``; without one there is
+        no base."""
+        now = self._now()
+        if upto is None or now.get("block", -1) <= upto:
+            return now
+        for note in self.base_table.history():
+            if note.get("log") != now.get("log"):
+                break
+            if note.get("block", -1) <= upto:
+                return note
+        return {"log": now["log"]} if "log" in now else {}
+
+    def base(self, upto: int | None = None) -> DataFrame | None:
+        path = self._base_note(upto).get("path")
+        return self.spark.read.parquet(path) if path else None
 
     def state(self, upto: int | None = None) -> DataFrame:
-        """The state now, or as of a block: a fork is rolled back by reading up to the last common block."""
-        burned = (self.base_table.current() or {}).get("burned")
-        events = self.log(upto=upto)
-        if burned:
-            events = events.join(self.spark.read.parquet(burned), "asset_id", "left_anti")
-        return overlay.current_state(events, self.base())
+        """The state now, or as of a block: a fork is rolled back by reading up to the last common block, from a base not
+        after it."""
+        note = self._base_note(upto)
+        events = self.log(upto=upto, now=note)
+        if note.get("burned"):
+            events = events.join(self.spark.read.parquet(note["burned"]), "asset_id", "left_anti")
+        return overlay.current_state(events, self.spark.read.parquet(note["path"]) if note.get("path") else None)
 
     def rollback(self, block: int) -> None:
         """Events after ``block`` are void from now on; later appends of the same blocks stand."""
-        kept = self.log(after=-1, upto=block)
-        jvm = self.spark._jvm
-        fresh = f"{self.root}/log-{uuid.uuid4().hex}"
-        kept.write.mode("overwrite").parquet(f"{fresh}/batch=-1")
-        path = jvm.org.apache.hadoop.fs.Path
-        fs = path(self.log_path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path(self.log_path), True)
-        fs.rename(path(fresh), path(self.log_path))
+        note = self._base_note(block)
+        fresh = f"log-{uuid.uuid4().hex}"
+        self.log(after=-1, upto=block).write.parquet(f"{self.root}/{fresh}/batch=-1")
+        self.base_table.point({**note, "log": fresh})
 
     def pending(self) -> int:
         return self.log().count()
 
     def compact(self, at_least: int = 0) -> bool:
-        """Publishes base and overlay as the next base if the overlay has ``at_least`` events. Burned ids are kept beside it, so
-        that a burn stays final; events that arrive meanwhile stay in the overlay."""
-        events = self.log()
-        n, newest = events.agg(F.count("*"), F.max("block")).first()
+        """Publishes base and overlay as the next base if the overlay has ``at_least`` events of blocks before its newest, which may
+        not be complete. Burned ids are kept beside it, so that a burn stays final; later events stay in the overlay."""
+        now = self._now()
+        events = self.log(now=now)
+        newest = events.agg(F.max("block")).first()[0]
+        if newest is None:
+            return False
+        events = events.filter(F.col("block") < newest)
+        n, covered = events.agg(F.count("*"), F.max("block")).first()
         if not n or n < at_least:
             return False
-        events = events.filter(F.col("block") <= newest)
-        before = (self.base_table.current() or {}).get("burned")
         dead = events.filter("op = 'burn'").select("asset_id")
-        if before:
-            old = self.spark.read.parquet(before)
+        if now.get("burned"):
+            old = self.spark.read.parquet(now["burned"])
             events, dead = events.join(old, "asset_id", "left_anti"), dead.union(old)
-        burned = f"{self.root}/burned-{newest}"
-        dead.distinct().write.mode("overwrite").parquet(burned)
-        self.base_table.publish(overlay.compact(events, self.base()).drop("ordinal"), block=newest, burned=burned)
+        burned = f"{self.root}/burned-{uuid.uuid4().hex}"
+        dead.distinct().write.parquet(burned)
+        notes = {"block": covered, "burned": burned} | ({"log": now["log"]} if "log" in now else {})
+        base = self.spark.read.parquet(now["path"]) if now.get("path") else None
+        self.base_table.publish(overlay.compact(events, base).drop("ordinal"), **notes)
         return True
 
     def counts(self) -> DataFrame:

@@ -36,6 +36,8 @@ def test_against_sql(spark, duck, name):
     try:
         df = suite.QUERIES[name](spark, DATA)
     except ValueError:
+        if name != "range_scan_clamped":
+            raise
         pytest.skip("the range is empty at this size")
     columns = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())

@@ -33,14 +33,14 @@ def rows(spark, duck, name):
 
 
 def test_actions_of_all_orders(spark, duck):
-    got = rows(spark, duck, "action_history_whole")
+    got = rows(spark, duck, "action_history")
     assert sum(int(r["n_receipts"]) for r in got) == duck.sql("select count(*) from lineitem").fetchall()[0][0]
     assert {r["amount"] == "None" for r in got if int(r["block_num"]) <= 40} == {True}
     assert {r["amount"] == "None" for r in got if int(r["block_num"]) > 40} == {False}
 
 
 def test_watermark_of_all_orders(spark, duck):
-    (got,) = rows(spark, duck, "watermark_whole")
+    (got,) = rows(spark, duck, "watermark_islands")
     assert (int(got["watermark"]), int(got["ranges"])) == duck.sql("select max(o_orderkey), count(*) from orders").fetchall()[0]
 
 
