@@ -46,6 +46,43 @@ def sections(data: bytes) -> list[Section]:
     return out
 
 
+def sections_of(file, size: int) -> list[Section]:
+    """The sections of a seekable file of this size, by their headers alone."""
+    if size < 8:
+        raise Malformed("not a portable snapshot")
+    head = Cursor(file.read(8))
+    if head.u32() != MAGIC:
+        raise Malformed("not a portable snapshot")
+    if head.u32() != VERSION:
+        raise Malformed("unknown file version")
+    out, at = [], 8
+    while size - at >= 8:
+        file.seek(at)
+        raw = file.read(min(512, size - at))
+        own = Cursor(raw).u64()
+        if own == END:
+            break
+        stop = raw.find(b"\0", 16)
+        if own < 9 or at + 8 + own > size:
+            raise Malformed(f"a section at {at + 8} of impossible size {own}")
+        if stop < 0:
+            raise Malformed("a section without a name")
+        out.append(Section(raw[16:stop].decode(), Cursor(raw, 8).u64(), at + stop + 1, own - (stop + 1 - 8)))
+        at += 8 + own
+    return out
+
+
+def only(file, found: list[Section], names: tuple[str, ...]) -> bytes:
+    """A snapshot of just these sections of a file."""
+    out = Builder().u32(MAGIC).u32(VERSION)
+    for s in found:
+        if s.name.removeprefix(_PREFIX) in names:
+            file.seek(s.at)
+            name = s.name.encode() + b"\0"
+            out.u64(8 + len(name) + s.size).u64(s.rows).raw(name).raw(file.read(s.size))
+    return out.u64(END).bytes()
+
+
 def find(found: list[Section], name: str) -> Section | None:
     return next((s for s in found if s.name in (name, _PREFIX + name)), None)
 

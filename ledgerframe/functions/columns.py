@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ASSET = r"^(-?)(\d*)\.?(\d*) ([A-Z]{1,7})$"
 
@@ -46,6 +47,13 @@ def parse_utc(text: Column) -> Column:
     return F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?$"), F.try_to_timestamp(clean))
 
 
+def expiration(text: Column) -> Column:
+    """An ISO time with or without a zone as a timestamp; without one it is UTC. Only signs after the T are a zone's."""
+    time = F.substring_index(text, "T", -1)
+    zoned = text.endswith("Z") | (text.contains("T") & (time.contains("+") | time.contains("-")))
+    return F.when(zoned, F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))).otherwise(F.try_to_timestamp(F.concat(text, F.lit("+00:00"))))
+
+
 def age_seconds(now: Column, then: Column) -> Column:
     """Whole seconds from ``then`` to ``now``, never below 0."""
     return F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp(then))
@@ -113,3 +121,53 @@ def query_map(text: Column) -> Column:
     indexed = F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), e["v"].alias("v"), i.alias("i")))
     last = F.filter(indexed, lambda e: ~F.exists(indexed, lambda o: (o["k"] == e["k"]) & (o["i"] > e["i"])))
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+
+
+def saturating_add(a: Column, b: Column) -> Column:
+    """The sum of two longs, held at the ends of their range."""
+    exact = a.cast("decimal(20,0)") + b.cast("decimal(20,0)")
+    return F.least(F.greatest(exact, F.lit("-9223372036854775808").cast("decimal(20,0)")), F.lit("9223372036854775807").cast("decimal(20,0)")).cast("long")
+
+
+def ceil_div(a: Column, b: Column) -> Column:
+    """Whole division of longs, rounded up, for b > 0."""
+    return ((a - F.pmod(a, b)) / b).cast("long") + F.when(F.pmod(a, b) == 0, 0).otherwise(1)
+
+
+def canonical(x: Column, kind: T.DataType) -> Column:
+    """The text by which a value is filtered: arrays as ``[a,b]``, text as it is, null as the empty text."""
+    if isinstance(kind, T.ArrayType):
+        inside = F.transform(x, lambda e: canonical(e, kind.elementType))
+        return F.coalesce(F.concat(F.lit("["), F.concat_ws(",", inside), F.lit("]")), F.lit(""))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(js_number(x), F.lit(""))
+    return F.coalesce(x.cast("string"), F.lit(""))
+
+
+def backed_tokens(texts: Column) -> Column:
+    """Asset texts as structs of symbol, precision and base units; malformed ones are left out."""
+    parsed = F.filter(F.transform(texts, parse_asset), lambda a: a.isNotNull())
+    return F.transform(parsed, lambda a: F.struct(a["symbol"].alias("token_symbol"), a["precision"].alias("token_precision"), a["units"].cast("string").alias("amount")))
+
+
+def extended_symbols(items: Column) -> Column:
+    """Structs of ``sym`` ("8,WAX") and ``contract`` as contract, symbol and precision; malformed symbols are left out."""
+    good = F.filter(items, lambda x: x["sym"].rlike(r"^\d{1,2},[A-Z]{1,7}$"))
+    return F.transform(good, lambda x: F.struct(F.coalesce(x["contract"], F.lit("")).alias("token_contract"), F.substring_index(x["sym"], ",", -1).alias("token_symbol"), F.substring_index(x["sym"], ",", 1).cast("int").alias("token_precision")))
+
+
+def map_difference(ours: Column, theirs: Column) -> Column:
+    """How two maps of JSON values differ: ``hard``, ``soft`` (only numbers that the other side has as text) or ``same``. A key
+    that one side lacks is hard; values compare by their JSON text."""
+    keys = F.array_union(F.map_keys(ours), F.map_keys(theirs))
+    at = lambda m, k: F.try_element_at(m, k)
+    number = lambda v: F.when(~v.startswith('"'), v.try_cast("double"))
+    text = lambda v: F.when(v.startswith('"') & (F.length(F.trim(F.btrim(v, F.lit('"')))) > 0), F.btrim(v, F.lit('"')).try_cast("double"))
+
+    def one(k: Column) -> Column:
+        a, b = at(ours, k), at(theirs, k)
+        variant = (number(a) == text(b)) | (number(b) == text(a))
+        return F.when(a.eqNullSafe(b), 0).when(F.coalesce(variant, F.lit(False)), 1).otherwise(2)
+
+    worst = F.coalesce(F.array_max(F.transform(keys, one)), F.lit(0))
+    return F.when(worst == 2, "hard").when(worst == 1, "soft").otherwise("same")

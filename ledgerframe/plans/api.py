@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from pyspark.sql import functions as F
+
 from . import serve
 
 
@@ -21,7 +23,20 @@ def answer(networks: dict[str, serve.Network], path: str) -> tuple[int, str, str
             return 200, "application/json", serve.to_json(serve.accounts_of_key(networks, *args))
         if name == "codehash":
             return 200, "application/json", serve.to_json(serve.accounts_of_code(networks, *args))
+        if name == "status":
+            return 200, "text/plain", serve.status_text([r for n in networks.values() for r in _sync(n).collect()])
         net = serve.chain(networks, args[0]) if args else None
+        if name == "sync" and net is not None:
+            r = _sync(net).first()
+            return 200, "text/plain", f"{r.delay} {r.status}\r\n"
+        if name == "accinfo" and net is not None:
+            key = net["accounts"].sparkSession.createDataFrame([(args[1],)], "account string")
+            return 200, "application/json", serve.to_json(serve.account_info(net, key))
+        if name in ("rexbalance", "rexraw") and net is not None:
+            return 200, "application/json", serve.to_json(serve.rex_of(net, args[1], raw=name == "rexraw"))
+        if name in ("action", "block", "health") and net is not None:
+            found = {"action": lambda b, q: serve.action(net["actions"], int(b), int(q)), "block": lambda b: serve.block(net["actions"], int(b)), "health": lambda: serve.health(net["blocks"])}[name](*args[1:])
+            return 200, "application/json", serve.to_json(found)
         table = {"balances": serve.balances, "account": serve.account, "topholders": lambda n, c, s, k: serve.top_holders(n, c, s, int(k)), "topram": lambda n, k: serve.top_ram(n, int(k)), "topstake": lambda n, k: serve.top_stake(n, int(k))}
         text = {"tokenbalance": serve.token_balance, "holdercount": serve.holder_count, "usercount": serve.user_count}
         if net is not None and name in table:
@@ -31,10 +46,14 @@ def answer(networks: dict[str, serve.Network], path: str) -> tuple[int, str, str
         raise LookupError("no such route")
     except LookupError as e:
         return 404, "text/plain", f"{e}\r\n"
-    except (ValueError, TypeError) as e:
+    except (ValueError, TypeError, IndexError) as e:
         return 400, "text/plain", f"{e}\r\n"
 
 
+def _sync(net: serve.Network):
+    return serve.sync(net, net["blocks"], F.current_timestamp())
+
+
 def server(networks: dict[str, serve.Network], host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import asof, grouping, lookups, overlay, ranking
+from ..operators import asof, grouping, lookups, overlay, ranking, validation
 from ..shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -521,3 +521,79 @@ def batch_block_cap(spark, d):
     allowed = o.select("o_custkey").distinct().orderBy("o_custkey").limit(40)
     numbered = allowed.withColumn("group_no", F.row_number().over(Window.orderBy("o_custkey")))
     return o.join(numbered, "o_custkey").select("o_orderkey", "group_no")
+
+
+_LIST = "SELECT list_sort(list(CAST(l_extendedprice AS DECIMAL(18,2)))) AS v FROM lineitem"
+
+
+@query(f"SELECT share, v[1 + least(floor(len(v) * share)::BIGINT, len(v) - 1)] AS value FROM ({_LIST}), (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) t(share)")
+def order_statistics(spark, d):
+    l = table(spark, d, "lineitem").select(money("l_extendedprice").alias("v"))
+    return validation.order_statistics(l, "v", (0.5, 0.9, 0.99))
+
+
+@query("""SELECT o_orderkey, x.column, x.left, x.right FROM (SELECT o_orderkey, unnest(list_filter([
+{'column': 'o_custkey', 'left': CAST(o_custkey AS VARCHAR), 'right': CAST(o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR)},
+{'column': 'o_orderstatus', 'left': o_orderstatus, 'right': CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END}], lambda x: x.left IS DISTINCT FROM x.right)) AS x FROM orders WHERE o_orderkey % 11 <> 0)
+UNION ALL SELECT o_orderkey, '*', 'present', NULL FROM orders WHERE o_orderkey % 11 = 0""")
+def answer_mismatches(spark, d):
+    """Two answers that should be the same, value by value; one of them is altered and lacks some rows."""
+    o, k = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("o_orderkey")
+    other = o.filter(k % 11 != 0).select("o_orderkey", (F.col("o_custkey") + F.when(k % 5 == 0, 1).otherwise(0)).alias("o_custkey"), F.when(k % 7 != 0, F.col("o_orderstatus")).alias("o_orderstatus"))
+    return validation.mismatches(o, other, ["o_orderkey"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 9223372036854775807 ELSE (o_custkey + o_orderkey)::BIGINT END AS added, CASE WHEN o_custkey % 2 = 0 THEN -9223372036854775808 ELSE -(o_custkey + o_orderkey)::BIGINT END AS taken,
+((o_orderkey + o_custkey % 9) // (o_custkey % 9 + 1))::BIGINT AS pages FROM orders""")
+def whole_numbers(spark, d):
+    k, c = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    big = F.when(c % 2 == 0, F.lit(2**63 - 1)).otherwise(c)
+    small = F.when(c % 2 == 0, F.lit(-(2**63))).otherwise(-c)
+    return table(spark, d, "orders").select("o_orderkey", C.saturating_add(big, k).alias("added"), C.saturating_add(small, -k).alias("taken"), C.ceil_div(k, c % 9 + 1).alias("pages"))
+
+
+@query("""SELECT l_orderkey, '[' || string_agg('[' || l_linenumber || ',' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ']', ',' ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey, l_extendedprice) || ']' AS canonical FROM lineitem GROUP BY 1""")
+def canonical_text(spark, d):
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_extendedprice")))
+    pairs = F.transform(lines, lambda x: F.array(x["l_linenumber"].cast("double"), x["l_quantity"].cast("double")))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(pairs.alias("x"))
+    return g.select("l_orderkey", C.canonical(F.col("x"), g.schema["x"].dataType).alias("canonical"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN text LIKE '% WAX' THEN 1 ELSE 0 END AS n_tokens, CASE WHEN text LIKE '% WAX' THEN CAST(CAST(replace(split_part(text, ' ', 1), '.', '') AS DECIMAL(38,0)) AS VARCHAR) END AS amount,
+CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'token' || o_orderkey % 3 END AS contract, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE (o_orderkey % 19)::INTEGER END AS precision FROM ({_ASSETS})""")
+def token_lists(spark, d):
+    """Lists of asset texts and of extended symbols, with malformed members."""
+    k = F.col("o_orderkey")
+    sym = F.when(k % 4 == 0, "nonsense").otherwise(F.concat((k % 19).cast("string"), F.lit(",WAX")))
+    a = _assets(spark, d).select("o_orderkey", C.backed_tokens(F.array("text", F.lit("x"))).alias("t"), C.extended_symbols(F.array(F.struct(sym.alias("sym"), F.concat(F.lit("token"), (k % 3).cast("string")).alias("contract")))).alias("s"))
+    return a.select("o_orderkey", F.size("t").alias("n_tokens"), F.get("t", F.lit(0))["amount"].alias("amount"), F.get("s", F.lit(0))["token_contract"].alias("contract"), F.get("s", F.lit(0))["token_precision"].alias("precision"))
+
+
+@query("""SELECT o_orderkey, epoch(o_orderdate)::BIGINT + CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 5400 ELSE -7200 END AS seconds FROM orders""")
+def expirations(spark, d):
+    """Times without a zone, with Z and with offsets of both signs."""
+    t = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    zone = F.element_at(F.array(F.lit(""), F.lit("Z"), F.lit("-01:30"), F.lit("+02:00")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.unix_timestamp(C.expiration(F.concat(t, zone))).alias("seconds"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'soft' WHEN 2 THEN 'hard' ELSE 'hard' END AS kind FROM part")
+def map_differences(spark, d):
+    """Attribute maps of JSON values: equal ones, a number as text on one side, another value, a key too many."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    ours = F.create_map(F.lit("name"), F.to_json(F.struct("p_name")), F.lit("size"), size)
+    other = F.when(k % 4 == 1, F.concat(F.lit('"'), size, F.lit('"'))).when(k % 4 == 2, F.concat(F.lit('"x'), size, F.lit('"'))).otherwise(size)
+    theirs = F.create_map(F.lit("name"), F.to_json(F.struct("p_name")), F.lit("size"), other)
+    theirs = F.when(k % 4 == 3, F.map_concat(theirs, F.create_map(F.lit("more"), F.lit("1")))).otherwise(theirs)
+    return table(spark, d, "part").select("p_partkey", C.map_difference(ours, theirs).alias("kind"))
+
+
+@query("""SELECT '{"code":"token","scope":"bank","table":"accounts","primary_key":"' || o_orderkey || '","payer":"bank","block_num":' || o_orderkey // 100 || ',"present":true,' || CASE WHEN o_orderkey % 3 = 0 THEN '"value":"' || lower(hex(CAST(o_orderkey AS VARCHAR))) || '"}' ELSE '"data":{"k":' || o_custkey || '}}' END AS value FROM orders""")
+def row_lines(spark, d):
+    """Contract rows as lines, decoded or in hexadecimal."""
+    from ..sources import sinks
+
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(F.lit("token").alias("code"), F.lit("bank").alias("scope"), F.lit("accounts").alias("table"), k.cast("string").alias("primary_key"), F.lit("bank").alias("payer"), F.floor(k / 100).alias("block_num"), F.when(k % 3 != 0, F.to_json(F.struct(F.col("o_custkey").alias("k")))).alias("json"), k.cast("string").cast("binary").alias("value"))
+    return sinks.row_lines(rows)

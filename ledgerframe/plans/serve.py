@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import age_seconds, format_units
 from ..operators import lookups, ranking, rex
+from ..operators.validation import clean
 
 
 @dataclass
@@ -151,6 +152,19 @@ def rex_balance(net: Network, fund: DataFrame, buckets: DataFrame, now, lendable
     return fund.join(parts, "account", "full_outer").select("account", F.col("fund"), *[text(F.col(c)).alias(c) for c in ("matured", "maturing", "savings")])
 
 
+def rex_of(net: Network, account_: str, raw: bool = False) -> DataFrame:
+    """The exchange holdings of an account from the collections ``rexfund`` (account, fund), ``rexbal`` (account, units, matures) and
+    ``rexpool`` (lendable, total); ``raw`` gives the rows as they are, without internal columns."""
+    if not net.rex_enabled:
+        raise ValueError(f"{net.name} has no resource exchange")
+    fund, held = (net[t].filter(F.col("account") == account_) for t in ("rexfund", "rexbal"))
+    if raw:
+        rows = held.groupBy("account").agg(F.array_sort(F.collect_list(F.struct(*[c for c in clean(held).columns if c != "account"]))).alias("rexbal"))
+        return clean(fund).join(rows, "account", "full_outer")
+    pool = net["rexpool"].select("lendable", "total").first()
+    return rex_balance(net, fund.select("account", "fund"), held.select("account", "units", "matures"), F.current_timestamp(), pool.lendable if pool else 0, pool.total if pool else 0)
+
+
 def sync(net: Network, blocks: DataFrame, now: Column) -> DataFrame:
     """Age of the newest block and whether it is within the chain's threshold; without a block time out of sync with delay 0."""
     newest = blocks.agg(F.max("block_num").alias("block_num"), F.max("block_time").alias("block_time"))
@@ -185,7 +199,9 @@ def hydrate_deltas(deltas: DataFrame, requests: DataFrame, max_blocks: int = 409
     """As for actions, by block, code, scope, table and key; of repeated rows in a block the first counts."""
     key = ["block_num", "code", "scope", "table", "primary_key"]
     allowed = requests.select("block_num").distinct().orderBy("block_num").limit(max_blocks)
-    rows = ranking.first_rows(deltas.join(allowed, "block_num", "left_semi"), key, [F.col("position")]).drop("position")
+    found = deltas.join(allowed, "block_num", "left_semi")
+    body = [c for c in deltas.columns if c not in (*key, "position")]
+    rows = found.groupBy(*key).agg(F.min_by(F.struct(*body), "position").alias("_x")).select(*key, "_x.*")
     return lookups.hydrate(requests, rows, key)
 
 

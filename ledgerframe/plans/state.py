@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..codec import abi as abi_codec
 from ..codec import attributes
-from ..functions.columns import parse_asset
+from ..functions.columns import extended_symbols, parse_asset
 from ..operators.asof import asof_join
 from ..shipping import ship
 
@@ -283,6 +283,29 @@ def nft_offers(rows: DataFrame) -> DataFrame:
     return r.select(F.col("code").alias("contract"), j("offer_id").alias("offer_id"), j("sender").alias("sender"), j("recipient").alias("recipient"), ids("sender_asset_ids"), ids("recipient_asset_ids"), j("memo").alias("memo"), j("ram_payer").alias("ram_payer"), "block_num")
 
 
+_PAIRS = "array<struct<sym:string,contract:string>>"
+
+
+def nft_config(rows: DataFrame) -> DataFrame:
+    """The contract's configuration: version, format of collections and the tokens it knows."""
+    r = rows.filter("table = 'config' and json is not null")
+    format_ = F.from_json(j("collection_format"), "array<struct<name:string,type:string>>")
+    return r.select(F.col("code").alias("contract"), j("version").alias("version"), format_.alias("collection_format"), extended_symbols(F.from_json(j("supported_tokens"), _PAIRS)).alias("supported_tokens"), "block_num")
+
+
+def market_places(rows: DataFrame) -> DataFrame:
+    r = rows.filter("table = 'marketplaces' and json is not null")
+    return r.select(F.col("code").alias("contract"), j("marketplace_name").alias("marketplace_name"), j("creator").alias("creator"), "block_num")
+
+
+def market_config(rows: DataFrame) -> DataFrame:
+    """Fees, limits and tokens of the market."""
+    r = rows.filter("table = 'config' and json is not null")
+    tokens = F.from_json(j("supported_tokens"), "array<struct<token_contract:string,token_symbol:string>>")
+    pairs = F.transform(tokens, lambda t: F.struct(t["token_symbol"].alias("sym"), t["token_contract"].alias("contract")))
+    return r.select(F.col("code").alias("contract"), j("version").alias("version"), j("maker_market_fee").try_cast("double").alias("maker_market_fee"), j("taker_market_fee").try_cast("double").alias("taker_market_fee"), j("minimum_auction_duration").try_cast("long").alias("minimum_auction_duration"), j("maximum_auction_duration").try_cast("long").alias("maximum_auction_duration"), extended_symbols(pairs).alias("supported_tokens"), "block_num")
+
+
 def market(rows: DataFrame, kind: str) -> DataFrame:
     """Sales, auctions, buy offers and template buy offers: price in base units, and a state for the first two (waiting until
     the assets or the offer are there)."""

@@ -33,15 +33,43 @@ def read_all(path: str) -> bytes:
     """A whole file, unpacked by its ending (.gz, .zst)."""
     with open_file(path) as f:
         data = f.read()
-    if path.endswith(".gz"):
+    if path.endswith((".gz", ".tgz")):
         import gzip
 
-        return gzip.decompress(data)
+        data, path = gzip.decompress(data), path.removesuffix(".gz")
     if path.endswith(".zst"):
         import zstandard
 
-        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    return data
+        data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+        path = path.removesuffix(".zst")
+    return _member(data) if path.endswith((".tar", ".tgz")) else data
+
+
+def _member(data: bytes) -> bytes:
+    """The first file of an archive that is called a snapshot (.bin), else its first file."""
+    import io
+    import tarfile
+
+    with tarfile.open(fileobj=io.BytesIO(data)) as tar:
+        files = [m for m in tar.getmembers() if m.isfile()]
+        return tar.extractfile(next((m for m in files if m.name.endswith(".bin")), files[0])).read()
+
+
+def unpacked(path: str) -> str:
+    """The path of the unpacked sibling of a ``.zst`` file; it is made once, under another name until it is whole."""
+    import os
+    import shutil
+    import uuid
+
+    import zstandard
+
+    target = path.removesuffix(".zst")
+    if target != path and not os.path.exists(target):
+        part = f"{target}.{uuid.uuid4().hex}.part"
+        with open(path, "rb") as source, open(part, "wb") as out, zstandard.ZstdDecompressor().stream_reader(source) as reader:
+            shutil.copyfileobj(reader, out, 1 << 20)
+        os.replace(part, target)
+    return target
 
 
 class BlockRange(InputPartition):
@@ -122,10 +150,8 @@ class ShipLogReader(DataSourceReader):
         with open_file(f"{self.path}.index") as index, open_file(f"{self.path}.log") as log:
             first = history.read_header(log.read(history.HEADER))[2]
             blocks = partition.wanted or range(partition.start, partition.end + 1)
-            index.seek((blocks[0] - first) * 8)
-            offsets = struct.unpack(f"<{blocks[-1] - blocks[0] + 1}Q", index.read((blocks[-1] - blocks[0] + 1) * 8))
-            for b in blocks:
-                log.seek(offsets[b - blocks[0]])
+            for b, offset in _offsets(index, first, blocks):
+                log.seek(offset)
                 _, id_, number, size = history.read_header(log.read(history.HEADER))
                 if number != b:
                     raise ValueError(f"the index says block {b}, the log {number}")
@@ -136,6 +162,18 @@ class ShipLogReader(DataSourceReader):
                 yield b, id_, payload
 
 
+def _offsets(index, first: int, blocks) -> Iterator[tuple[int, int]]:
+    """(block, offset in the log): one read of the index for each run of consecutive blocks, of 4096 at most."""
+    k = 0
+    while k < len(blocks):
+        n = 1
+        while n < 4096 and k + n < len(blocks) and blocks[k + n] == blocks[k] + n:
+            n += 1
+        index.seek((blocks[k] - first) * 8)
+        yield from zip(blocks[k : k + n], struct.unpack(f"<{n}Q", index.read(n * 8)), strict=True)
+        k += n
+
+
 class ShipLogStream(DataSourceStreamReader):
     """Blocks as they are appended; the offset is the next block, so a restart resumes where the last batch ended."""
 
@@ -228,6 +266,21 @@ class SnapshotReader(DataSourceReader):
     def partitions(self):
         return [InputPartition(p) for p in self.paths]
 
+    def _sections(self, path: str) -> list[snapshot.Section]:
+        """By seeking from header to header where the file is not packed."""
+        if path.endswith((".gz", ".zst", ".tgz", ".tar")):
+            return snapshot.sections(read_all(path))
+        with open_file(path) as f:
+            return snapshot.sections_of(f, f.size())
+
+    def _needed(self, path: str) -> bytes:
+        """A snapshot with the sections that this kind reads, and no others."""
+        if path.endswith((".gz", ".zst", ".tgz", ".tar")):
+            return read_all(path)
+        names = {"rows": ("contract_tables", "table_id_object", "key_value_object"), "accounts": ("account_object",), "code": ("account_metadata_object",), "permissions": ("permission_object", "permission_usage_object"), "links": ("permission_link_object",)}[self.kind]
+        with open_file(path) as f:
+            return snapshot.only(f, snapshot.sections_of(f, f.size()), (*names, "chain_snapshot_header"))
+
     def _wanted(self, code: str, scope: str, table: str) -> bool:
         def one(t):
             return t[0] == table if len(t) == 1 else (t[0], t[-1]) == (code, table) and (len(t) == 2 or t[1] == scope)
@@ -237,10 +290,11 @@ class SnapshotReader(DataSourceReader):
     def read(self, partition):
         import json
 
-        data = read_all(partition.value)
         if self.kind == "sections":
-            yield from ((s.name, s.rows, s.at, s.size) for s in snapshot.sections(data))
-        elif self.kind == "rows":
+            yield from ((s.name, s.rows, s.at, s.size) for s in self._sections(partition.value))
+            return
+        data = self._needed(partition.value)
+        if self.kind == "rows":
             yield from snapshot.contract_rows(data, self._wanted)
         elif self.kind == "accounts":
             yield from snapshot.accounts(data)

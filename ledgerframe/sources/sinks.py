@@ -32,6 +32,41 @@ def write_sorted(df: DataFrame, path: str, key: list[str], partitions: int) -> N
     df.repartitionByRange(partitions, *key).sortWithinPartitions(*key).write.mode("overwrite").parquet(path)
 
 
+#: Orders of documents in an index: the newest first.
+SORTED = {"action": [("global_sequence", False)], "delta": [("block_num", False), ("scope", True), ("primary_key", True)]}
+
+
+def write_in_order(df: DataFrame, path: str, kind: str, partitions: int) -> None:
+    """Documents of a kind in the order of its index: files are ranges of it and each file is in order."""
+    order = [F.col(c).asc() if up else F.col(c).desc() for c, up in SORTED[kind]]
+    df.repartitionByRange(partitions, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def row_lines(df: DataFrame) -> DataFrame:
+    """A contract row as a line: the decoded document under ``data``, or the raw bytes in hexadecimal under ``value``."""
+    head = F.to_json(F.struct("code", "scope", "table", "primary_key", "payer", "block_num", F.lit(True).alias("present")))
+    tail = F.when(F.col("json").isNotNull(), F.concat(F.lit('"data":'), F.col("json"))).otherwise(F.concat(F.lit('"value":"'), F.lower(F.hex("value")), F.lit('"')))
+    return df.select(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(","), tail, F.lit("}")).alias("value"))
+
+
+def complete_lines(path: str) -> int:
+    """Takes an unfinished last line off a file that a writer left in the middle; the bytes that remain."""
+    with open(path, "r+b") as f:
+        size = f.seek(0, 2)
+        at = size
+        while at:  # from the end, a block at a time
+            start = max(0, at - (1 << 16))
+            f.seek(start)
+            cut = f.read(at - start).rfind(b"\n")
+            if cut >= 0:
+                at = start + cut + 1
+                break
+            at = start
+        if at != size:
+            f.truncate(at)
+        return at
+
+
 class VersionedTable:
     """Immutable versions under one root, and pointers: small numbered files of which the highest counts.
 
