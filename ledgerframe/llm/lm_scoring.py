@@ -4,7 +4,7 @@ Tokens are A-Z lower-cased words between white space, and one end for each text.
 made block by block: a block is about ``BLOCK_BYTES`` of documents by hash, written as one row of a table; it sends each of its
 distinct tokens once, and gets their corpus counts back for scoring; no table of all words has to fit anywhere.
 
-The vocabulary grows with the corpus: its ``WORDS + GROW * sqrt(tokens)`` commonest words are classes of their own, and all
+The vocabulary grows with the corpus: its ``WORDS + GROW x sqrt(tokens)`` commonest words are classes of their own, and all
 other words are dealt by hash over about a quarter as many classes, so every word tells as a context and as a target. A word of a
 hash class has the probability of its class times its share (count + 1) of that class, with one share for unseen words.
 
@@ -36,10 +36,10 @@ from .frames import map_arrow, put, remainder, ship, text_or_empty
 from .storage import materialize
 from .tokens import BLANK, words
 
-WORDS, WIDTH, ROUNDS, BATCH, NOISE, RATE = 1024, 24, 2, 4096, 64, 0.3
-GROW, CHUNK = 4, 1 << 15
+WORDS, WIDTH, ROUNDS, BATCH, NOISE, RATE = 1024, 16, 2, 4096, 64, 0.3
+GROW, CHUNK = 1, 1 << 15
 #: Bytes of a block; blocks, and their least bytes, where there is less text than so many of them would hold.
-BLOCK_BYTES, FEW_BLOCKS, LEAST_BYTES = 16 << 20, 32, 512 << 10
+BLOCK_BYTES, FEW_BLOCKS, LEAST_BYTES = 16 << 20, 32, 4 << 20
 FAN, FAN_BYTES = 64, 128 << 20
 #: The end token's key; no word hashes are compared with it on purpose.
 END = np.uint64(0xE4D0F7E8)
@@ -113,32 +113,42 @@ class Network:
         rng, n = np.random.default_rng(seed), 0
         r2, q2, c2, b2, gq2, gb2 = (np.full(p.shape, 1e-2, np.float32) for p in self.parameters())
         levels = [(q, b, qs, bs, np.log(p * NOISE).astype(np.float32), np.cumsum(p)) for q, b, qs, bs, p in ((self.q, self.b, q2, b2, self.noise), (self.gq, self.gb, gq2, gb2, self.group_noise))]
-        for own, one, two in batches:
-            for lo in range(0, len(own), BATCH):
-                w, a, b = own[lo : lo + BATCH], one[lo : lo + BATCH], two[lo : lo + BATCH]
+        for classes, one, two in batches:
+            for lo in range(0, len(classes), BATCH):
+                w, a, b = classes[lo : lo + BATCH], one[lo : lo + BATCH], two[lo : lo + BATCH]
                 ra, rb = self.r[a], self.r[b]
                 h = ra @ self.c[0] + rb @ self.c[1]
                 gh = np.zeros_like(h)
-                size, steps = math.sqrt(len(w)), []
+                size, steps = np.float32(math.sqrt(len(w))), []
                 for t, (q, bias, qs, bs, log_noise, pick) in zip((w, self.group[w]), levels, strict=True):
                     k = np.minimum(np.searchsorted(pick, rng.random(NOISE) * pick[-1]), len(pick) - 1)
                     qw, qk = q[t], q[k]
-                    good = 1 / (1 + np.exp(-np.clip((h * qw).sum(1) + bias[t] - log_noise[t], -30, 30)))
-                    bad = 1 / (1 + np.exp(-np.clip(h @ qk.T + bias[k] - log_noise[k], -30, 30)))
-                    good = ((1 - good) / len(w)).astype(np.float32)
-                    bad = (bad / len(w)).astype(np.float32)
-                    gh += good[:, None] * qw - bad @ qk
+                    good = _rate((h * qw).sum(1) + (bias[t] - log_noise[t]))
+                    bad = h @ qk.T
+                    bad += bias[k] - log_noise[k]
+                    bad = _rate(bad)
+                    good = (1 - good) / np.float32(len(w))
+                    bad /= np.float32(len(w))
+                    own = good[:, None] * h
+                    qw *= good[:, None]
+                    gh += qw
+                    gh -= bad @ qk
                     rows = np.concatenate([t, k])
-                    steps.append((q, qs, rows, np.concatenate([good[:, None] * h, -(bad.T @ h)])))
+                    steps.append((q, qs, rows, np.concatenate([own, -(bad.T @ h)])))
                     steps.append((bias, bs, rows, np.concatenate([good, -bad.sum(0)])))
                 steps.append((self.r, r2, np.concatenate([a, b]), np.concatenate([gh @ self.c[0].T, gh @ self.c[1].T])))
                 g = np.stack([ra.T @ gh, rb.T @ gh]) * size
                 c2 += g * g
                 self.c += RATE * 0.1 * g / np.sqrt(c2)
                 for p, s, rows, values in steps:
-                    at, g = _by_row(rows, values * size)
-                    s[at] += g * g
-                    p[at] += RATE * 0.1 * g / np.sqrt(s[at])
+                    at, g = _by_row(rows, values)
+                    g *= size
+                    own_s = s[at]
+                    own_s += g * g
+                    s[at] = own_s
+                    g *= RATE * 0.1
+                    g /= np.sqrt(own_s, out=own_s)
+                    p[at] += g
                 n += len(w)
         return n
 
@@ -178,12 +188,23 @@ def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(np.exp(scores, out=scores).sum(1, dtype=float))
 
 
+def _rate(x: np.ndarray) -> np.ndarray:
+    """The logistic function, in place; exponents stay in the range of 32-bit numbers."""
+    np.maximum(x, -80, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.int32))
     r = rows[order]
-    at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    return r[at], np.add.reduceat(values[order], at, axis=0)
+    last = np.flatnonzero(np.concatenate([r[1:] != r[:-1], [True]]))
+    sums = np.cumsum(values[order], axis=0, dtype=np.float64)[last]  # differences of running sums; much faster than by segments
+    sums[1:] -= sums[:-1].copy()
+    return r[last], sums.astype(np.float32)
 
 
 def block_table(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
