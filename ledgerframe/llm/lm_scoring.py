@@ -36,7 +36,7 @@ from .frames import map_arrow, put, remainder, ship, text_or_empty
 from .storage import materialize
 from .tokens import BLANK, words
 
-WORDS, WIDTH, ROUNDS, BATCH, NOISE, RATE = 1024, 16, 2, 4096, 64, 0.3
+WORDS, WIDTH, ROUNDS, BATCH, NOISE, RATE = 1024, 16, 1, 4096, 64, 0.3
 GROW, CHUNK = 1, 1 << 15
 #: Bytes of a block; blocks, and their least bytes, where there is less text than so many of them would hold.
 BLOCK_BYTES, FEW_BLOCKS, LEAST_BYTES = 16 << 20, 32, 4 << 20
