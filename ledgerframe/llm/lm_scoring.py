@@ -36,11 +36,16 @@ from .frames import map_arrow, put, remainder, ship, text_or_empty
 from .storage import materialize
 from .tokens import BLANK, words
 
-WORDS, WIDTH, ROUNDS, BATCH, NOISE, RATE = 1024, 16, 1, 4096, 64, 0.3
-GROW, CHUNK = 1, 1 << 15
+WORDS, WIDTH, ROUNDS, BATCH, NOISE, RATE = 1024, 24, 2, 4096, 64, 0.3
+GROW, CHUNK = 4, 1 << 15
+#: Rows whose scores of all groups stay in a core's cache.
+CACHED = 512
 #: Bytes of a block; blocks, and their least bytes, where there is less text than so many of them would hold.
 BLOCK_BYTES, FEW_BLOCKS, LEAST_BYTES = 16 << 20, 32, 4 << 20
 FAN, FAN_BYTES = 64, 128 << 20
+#: How blocks are written: every block is a row group of its own, where the writer would else gather 100 rows before it looks at
+#: their size, and a codec that works through a stream, where the usual one holds whole pages in memory outside the heap, twice.
+LAYOUT = {"compression": "zstd", "parquet.block.size": "1", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: The end token's key; no word hashes are compared with it on purpose.
 END = np.uint64(0xE4D0F7E8)
 
@@ -120,22 +125,21 @@ class Network:
                 h = ra @ self.c[0] + rb @ self.c[1]
                 gh = np.zeros_like(h)
                 size, steps = np.float32(math.sqrt(len(w))), []
+                share, h1 = np.float32(1 / len(w)), np.column_stack([h, np.ones(len(w), np.float32)])
                 for t, (q, bias, qs, bs, log_noise, pick) in zip((w, self.group[w]), levels, strict=True):
                     k = np.minimum(np.searchsorted(pick, rng.random(NOISE) * pick[-1]), len(pick) - 1)
                     qw, qk = q[t], q[k]
-                    good = _rate((h * qw).sum(1) + (bias[t] - log_noise[t]))
-                    bad = h @ qk.T
-                    bad += bias[k] - log_noise[k]
-                    bad = _rate(bad)
-                    good = (1 - good) / np.float32(len(w))
-                    bad /= np.float32(len(w))
+                    good = _rate(-((h * qw).sum(1) + (bias[t] - log_noise[t])))
+                    bad = _rate(h1 @ -np.column_stack([qk, bias[k] - log_noise[k]]).T)
+                    good = (1 - good) * share
                     own = good[:, None] * h
                     qw *= good[:, None]
                     gh += qw
-                    gh -= bad @ qk
+                    gh -= bad @ (qk * share)
+                    down = (bad.T @ h1) * -share  # the last column is the bias's
                     rows = np.concatenate([t, k])
-                    steps.append((q, qs, rows, np.concatenate([own, -(bad.T @ h)])))
-                    steps.append((bias, bs, rows, np.concatenate([good, -bad.sum(0)])))
+                    steps.append((q, qs, rows, np.concatenate([own, down[:, :-1]])))
+                    steps.append((bias, bs, rows, np.concatenate([good, down[:, -1]])))
                 steps.append((self.r, r2, np.concatenate([a, b]), np.concatenate([gh @ self.c[0].T, gh @ self.c[1].T])))
                 g = np.stack([ra.T @ gh, rb.T @ gh]) * size
                 c2 += g * g
@@ -165,18 +169,23 @@ class Network:
         """Natural logarithm of the probability of each class after its two tokens, exactly normalised."""
         out = np.empty(len(own))
         first, second = self.r @ self.c[0], self.r @ self.c[1]
+        gq, q, bias = np.ascontiguousarray(self.gq.T), np.ascontiguousarray(self.q[self.ranked].T), self.b[self.ranked]
         for lo in range(0, len(own), CHUNK):
             w = own[lo : lo + CHUNK]
             h = first[one[lo : lo + CHUNK]] + second[two[lo : lo + CHUNK]]
             group = self.group[w]
-            p = _log_share(h @ self.gq.T + self.gb, group)
-            order = np.argsort(group, kind="stable")
+            p = np.empty(len(w))
+            for at in range(0, len(w), CACHED):
+                p[at : at + CACHED] = _log_share(h[at : at + CACHED] @ gq + self.gb, group[at : at + CACHED])
+            order = np.argsort(group.astype(np.int32), kind="stable")
             edges = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 rows = order[a:b]
                 g = group[rows[0]]
-                among = self.ranked[g * self.per : (g + 1) * self.per]
-                p[rows] += _log_share(h[rows] @ self.q[among].T + self.b[among], self.at[w[rows]])
+                mates = slice(g * self.per, (g + 1) * self.per)
+                for at in range(0, len(rows), CACHED):
+                    some = rows[at : at + CACHED]
+                    p[some] += _log_share(h[some] @ q[:, mates] + bias[mates], self.at[w[some]])
             out[lo : lo + CHUNK] = p
         return out
 
@@ -189,9 +198,8 @@ def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _rate(x: np.ndarray) -> np.ndarray:
-    """The logistic function, in place; exponents stay in the range of 32-bit numbers."""
-    np.maximum(x, -80, out=x)
-    np.negative(x, out=x)
+    """The logistic function of -x, in place; exponents stay in the range of 32-bit numbers."""
+    np.minimum(x, 80, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
@@ -234,7 +242,7 @@ def block_table(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "rows": rows})
 
     ship(docs.sparkSession.sparkContext)
-    return materialize(docs.groupBy("_block").applyInArrow(pack, schema), "blocks")
+    return materialize(docs.groupBy("_block").applyInArrow(pack, schema), "blocks", **LAYOUT)
 
 
 def _each_block(batch: pa.RecordBatch) -> Iterator[tuple[int, list[pa.Array]]]:

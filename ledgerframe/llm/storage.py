@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back; the plan behind the returned frame is a plain scan."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written once, with options of the Parquet writer, and read back; the plan behind the returned frame is a plain scan."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerframe/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

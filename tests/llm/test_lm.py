@@ -1,11 +1,13 @@
 """Scores of the log-bilinear model recomputed word by word from its parameters, and reruns over other partitions."""
 
+import glob
 import math
 import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from ledgerframe.llm import lm_scoring as lm
@@ -80,3 +82,14 @@ def test_equal_rows_are_dealt_to_several_blocks(spark):
     assert max(sizes) < 60 and sum(sizes) == 250
     out = lm.score(counts, lm.train(counts, rounds=1))
     assert out.columns == ["doc_id", "text", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and out.count() == 250
+
+
+def test_blocks_are_written_one_at_a_time(spark):
+    """No task holds several blocks in a page or a row group; the writer looks at sizes only every 100 rows by itself."""
+    d = spark.createDataFrame([(i, f"text {i} " * 30) for i in range(20_000)], "doc_id long, text string").coalesce(1)
+    blocks = lm.block_table(d, lm.F.lit(True), block_bytes=2 << 20)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{blocks._scratch_path.removeprefix('file:')}/*.parquet")]
+    assert sum(m.num_rows for m in files) > len(files)
+    for m in files:
+        for g in range(m.num_row_groups):
+            assert m.row_group(g).num_rows == 1 and m.row_group(g).column(0).compression == "ZSTD"
