@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .frames import map_arrow, put, remainder, ship, text_or_empty
-from .storage import materialize
+from .storage import materialize, read_once
 from .tokens import BLANK, words
 
 WORDS, WIDTH, ROUNDS, BATCH, NOISE, RATE = 1024, 24, 2, 4096, 64, 0.3
@@ -242,7 +242,8 @@ def block_table(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "rows": rows})
 
     ship(docs.sparkSession.sparkContext)
-    return materialize(docs.groupBy("_block").applyInArrow(pack, schema), "blocks", **LAYOUT)
+    with read_once(docs.sparkSession):
+        return materialize(docs.groupBy("_block").applyInArrow(pack, schema), "blocks", **LAYOUT)
 
 
 def _each_block(batch: pa.RecordBatch) -> Iterator[tuple[int, list[pa.Array]]]:
@@ -334,12 +335,13 @@ def train(counts: Counts, rounds: int = ROUNDS) -> Network:
             return pa.Table.from_batches([_row(key[0].as_py(), n, total / n)])
 
         schema = "part int, n long, delta binary"
-        sums, wide = map_arrow(texts, learn, schema), max(2, blocks)
         fan = max(2, min(FAN, FAN_BYTES // (2 * size)))
-        while wide > 1:  # a tree of means: no task adds more than fan parameter sets
-            sums = sums.withColumn("part", F.expr(f"part div {fan}").cast("int")).groupBy("part").applyInArrow(add, schema)
-            wide = -(-wide // fan)
-        sums = sums.collect()
+        with read_once(counts.blocks.sparkSession):  # a round's changes are larger than its texts where there are many words
+            sums, wide = map_arrow(texts, learn, schema), max(2, blocks)
+            while wide > 1:  # a tree of means: no task adds more than fan parameter sets
+                sums = sums.withColumn("part", F.expr(f"part div {fan}").cast("int")).groupBy("part").applyInArrow(add, schema)
+                wide = -(-wide // fan)
+            sums = sums.collect()
         if sums:
             net.set_flat((net.flat() + np.frombuffer(sums[0].delta, np.float16)).astype(np.float32))
         shared.unpersist()

@@ -2,6 +2,7 @@
 
 import glob
 import math
+import os
 import random
 from collections import Counter
 
@@ -93,3 +94,18 @@ def test_blocks_are_written_one_at_a_time(spark):
     for m in files:
         for g in range(m.num_row_groups):
             assert m.row_group(g).num_rows == 1 and m.row_group(g).column(0).compression == "ZSTD"
+
+
+def test_a_round_leaves_no_shuffle_files(spark):
+    """Changes of the parameters are as many as blocks times words; those of one round go before the next."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in files.mkString("\n").split("\n") if "/shuffle_" in f and f.endswith(".data")}
+
+    counts = lm.Counts(spark.createDataFrame(corpus(), "doc_id long, text string"), lm.F.lit(True), words_=20, block_bytes=3000)
+    before = shuffled()
+    lm.train(counts, rounds=2)
+    left = [os.path.getsize(f) for f in shuffled() - before if os.path.exists(f)]
+    assert sum(left) < 1000  # counting the blocks leaves a few bytes
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
