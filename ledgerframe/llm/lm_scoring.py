@@ -37,9 +37,11 @@ from .storage import materialize, read_once
 from .tokens import BLANK, words
 
 WORDS, WIDTH, ROUNDS, BATCH, NOISE, RATE = 1024, 24, 2, 4096, 64, 0.3
-GROW, CHUNK = 4, 1 << 15
+GROW, CHUNK = 4, 1 << 18
 #: Rows whose scores of all groups stay in a core's cache.
 CACHED = 512
+#: Most keys that begin with the same bits, for words to be looked up by these bits.
+DEEP = 8
 #: Bytes of a block; blocks, and their least bytes, where there is less text than so many of them would hold.
 BLOCK_BYTES, FEW_BLOCKS, LEAST_BYTES = 16 << 20, 32, 4 << 20
 FAN, FAN_BYTES = 64, 128 << 20
@@ -67,7 +69,7 @@ class Network:
 
     def __init__(self, keys: np.ndarray, noise: np.ndarray, seed: int = 7):
         v, rng = len(noise), np.random.default_rng(seed)
-        self.keys, self.noise, self.hashed = keys, noise, v - len(keys) - 1
+        self.keys, self.noise, self.hashed, self.starts = keys, noise, v - len(keys) - 1, None
         per = max(1, math.isqrt(v))
         #: Classes by rank; group g has those from g * per on.
         self.ranked = np.argsort(-noise, kind="stable")
@@ -101,9 +103,11 @@ class Network:
         n, end = len(self.keys), len(self.noise) - 1
         own = n + (key & np.uint64(self.hashed - 1)).astype(np.int64)
         if n:
-            at = np.searchsorted(self.keys, key)
-            at[at == n] = 0
-            own = np.where(self.keys[at] == key, at, own)
+            at, deep = self._first(key)
+            for _ in range(deep):
+                found = np.flatnonzero(self.keys.take(at, mode="clip") == key)
+                own[found] = np.minimum(at[found], n - 1)
+                at += 1
         own[key == END] = end
         start = np.ones(len(doc), bool)
         start[1:] = doc[1:] != doc[:-1]
@@ -113,47 +117,78 @@ class Network:
         two[start] = end + 1
         return own, one, two
 
+    def _first(self, key: np.ndarray) -> tuple[np.ndarray, int]:
+        """Where each key would be first among ``keys``, and how many places from there on it may be at."""
+        if self.starts is None:  # made where it is used, and not sent along
+            self.bits = np.uint64(64 - min(24, len(self.keys).bit_length() + 2))
+            self.starts = np.searchsorted(self.keys, np.arange(1 << 64 - int(self.bits), dtype=np.uint64) << self.bits)
+            self.deep = int(np.diff(self.starts, append=len(self.keys)).max())
+        return (np.searchsorted(self.keys, key), 1) if self.deep > DEEP else (self.starts.take(key >> self.bits), self.deep)
+
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int) -> int:
         """Noise-contrastive steps with Adagrad; returns the number of tokens."""
         rng, n = np.random.default_rng(seed), 0
-        r2, q2, c2, b2, gq2, gb2 = (np.full(p.shape, 1e-2, np.float32) for p in self.parameters())
-        levels = [(q, b, qs, bs, np.log(p * NOISE).astype(np.float32), np.cumsum(p)) for q, b, qs, bs, p in ((self.q, self.b, q2, b2, self.noise), (self.gq, self.gb, gq2, gb2, self.group_noise))]
+        # biases are last columns, so a class and its bias are gathered, summed and moved together
+        r, c, q, gq = self.r, self.c.reshape(2 * WIDTH, WIDTH), np.column_stack([self.q, self.b]), np.column_stack([self.gq, self.gb])
+        r2, c2, q2, gq2 = (np.full(p.shape, 1e-2, np.float32) for p in (r, c, q, gq))
+        levels = [(x, np.log(p * NOISE).astype(np.float32), np.cumsum(p)) for x, p in ((q, self.noise), (gq, self.group_noise))]
+        place, step = np.empty(len(r), np.int64), np.float32(RATE * 0.1)
         for classes, one, two in batches:
             for lo in range(0, len(classes), BATCH):
                 w, a, b = classes[lo : lo + BATCH], one[lo : lo + BATCH], two[lo : lo + BATCH]
-                ra, rb = self.r[a], self.r[b]
-                h = ra @ self.c[0] + rb @ self.c[1]
-                gh = np.zeros_like(h)
-                size, steps = np.float32(math.sqrt(len(w))), []
-                share, h1 = np.float32(1 / len(w)), np.column_stack([h, np.ones(len(w), np.float32)])
-                for t, (q, bias, qs, bs, log_noise, pick) in zip((w, self.group[w]), levels, strict=True):
-                    k = np.minimum(np.searchsorted(pick, rng.random(NOISE) * pick[-1]), len(pick) - 1)
-                    qw, qk = q[t], q[k]
-                    good = _rate(-((h * qw).sum(1) + (bias[t] - log_noise[t])))
-                    bad = _rate(h1 @ -np.column_stack([qk, bias[k] - log_noise[k]]).T)
+                m = len(w)
+                size, share = np.float32(math.sqrt(m)), np.float32(1 / m)
+                x = np.concatenate([r.take(a, axis=0), r.take(b, axis=0)], axis=1)
+                h1 = np.ones((m, WIDTH + 1), np.float32)
+                np.matmul(x, c, out=h1[:, :WIDTH])
+                wide = h1.T.astype(float)  # sums are made by columns, in 64 bits
+                picked = [np.minimum(np.searchsorted(pick, rng.random(NOISE) * pick[-1]), len(pick) - 1) for _, _, pick in levels]
+                noise = np.concatenate([p.take(k, axis=0) for (p, _, _), k in zip(levels, picked, strict=True)])
+                noise[:, WIDTH] -= np.concatenate([log_noise[k] for (_, log_noise, _), k in zip(levels, picked, strict=True)])
+                gh, down = np.empty((m, WIDTH), np.float32), np.zeros(noise.shape, np.float32)
+                minus, back = np.ascontiguousarray(-noise.T), noise[:, :WIDTH] * -share
+                for at in range(0, m, CACHED):
+                    some = h1[at : at + CACHED]
+                    bad = _rate(some @ minus)
+                    np.matmul(bad, back, out=gh[at : at + CACHED])
+                    down += bad.T @ some
+                down *= -share
+                moved = []
+                for (p, log_noise, _), t, k, own in zip(levels, (w, self.group.take(w)), picked, (down[:NOISE], down[NOISE:]), strict=True):
+                    pw = p.take(t, axis=0)
+                    good = _rate(log_noise.take(t) - np.einsum("ij,ij->i", h1, pw))
                     good = (1 - good) * share
-                    own = good[:, None] * h
-                    qw *= good[:, None]
-                    gh += qw
-                    gh -= bad @ (qk * share)
-                    down = (bad.T @ h1) * -share  # the last column is the bias's
-                    rows = np.concatenate([t, k])
-                    steps.append((q, qs, rows, np.concatenate([own, down[:, :-1]])))
-                    steps.append((bias, bs, rows, np.concatenate([good, down[:, -1]])))
-                steps.append((self.r, r2, np.concatenate([a, b]), np.concatenate([gh @ self.c[0].T, gh @ self.c[1].T])))
-                g = np.stack([ra.T @ gh, rb.T @ gh]) * size
+                    pw *= good[:, None]
+                    gh += pw[:, :WIDTH]
+                    at, (i, j) = _places(place, len(p), t, k)
+                    g = _sums(i, wide, len(at), good.astype(float))
+                    np.add.at(g, j, own)
+                    moved.append((at, g))
+                # the second word before is most often the first one of the token before, so both moves are those of one row
+                by = gh @ c.T
+                same = b[1:] == a[:-1]
+                alone = np.concatenate([[0], np.flatnonzero(~same) + 1])
+                rest = by[alone, WIDTH:]
+                by[:-1, :WIDTH] += by[1:, WIDTH:] * same[:, None]
+                at, (i, j) = _places(place, len(r), a, b[alone])
+                g = _sums(i, by[:, :WIDTH].T.astype(float), len(at))
+                np.add.at(g, j, rest)
+                moved.append((at, g))
+                g = x.T @ gh
+                g *= size
                 c2 += g * g
-                self.c += RATE * 0.1 * g / np.sqrt(c2)
-                for p, s, rows, values in steps:
-                    at, g = _by_row(rows, values)
+                c += step * g / np.sqrt(c2)
+                for p, s, (at, g) in zip((q, gq, r), (q2, gq2, r2), moved, strict=True):
                     g *= size
-                    own_s = s[at]
+                    own_s = s.take(at, axis=0)
                     own_s += g * g
                     s[at] = own_s
-                    g *= RATE * 0.1
+                    g *= step
                     g /= np.sqrt(own_s, out=own_s)
-                    p[at] += g
-                n += len(w)
+                    g += p.take(at, axis=0)
+                    p[at] = g
+                n += m
+        self.q[...], self.b[...], self.gq[...], self.gb[...] = q[:, :WIDTH], q[:, WIDTH], gq[:, :WIDTH], gq[:, WIDTH]
         return n
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,50 +204,66 @@ class Network:
         """Natural logarithm of the probability of each class after its two tokens, exactly normalised."""
         out = np.empty(len(own))
         first, second = self.r @ self.c[0], self.r @ self.c[1]
-        gq, q, bias = np.ascontiguousarray(self.gq.T), np.ascontiguousarray(self.q[self.ranked].T), self.b[self.ranked]
+        gq, q = (np.ascontiguousarray(np.column_stack(x).T) for x in ((self.gq, self.gb), (self.q[self.ranked], self.b[self.ranked])))
         for lo in range(0, len(own), CHUNK):
-            w = own[lo : lo + CHUNK]
-            h = first[one[lo : lo + CHUNK]] + second[two[lo : lo + CHUNK]]
-            group = self.group[w]
-            p = np.empty(len(w))
-            for at in range(0, len(w), CACHED):
-                p[at : at + CACHED] = _log_share(h[at : at + CACHED] @ gq + self.gb, group[at : at + CACHED])
-            order = np.argsort(group.astype(np.int32), kind="stable")
-            edges = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                rows = order[a:b]
-                g = group[rows[0]]
-                mates = slice(g * self.per, (g + 1) * self.per)
-                for at in range(0, len(rows), CACHED):
-                    some = rows[at : at + CACHED]
-                    p[some] += _log_share(h[some] @ q[:, mates] + bias[mates], self.at[w[some]])
-            out[lo : lo + CHUNK] = p
+            w, a, b = (x[lo : lo + CHUNK] for x in (own, one, two))
+            order = np.argsort(self.group.take(w).astype(np.int32), kind="stable")
+            w, a, b = w.take(order), a.take(order), b.take(order)
+            group, place = self.group.take(w), self.at.take(w)
+            h = np.ones((len(w), WIDTH + 1), np.float32)
+            for at in range(0, len(w), BATCH):
+                some = slice(at, at + BATCH)
+                np.add(first.take(a[some], axis=0), second.take(b[some], axis=0), out=h[some, :WIDTH])
+            p = _log_share(h, gq, group)
+            edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                g = group[i]
+                p[i:j] += _log_share(h[i:j], np.ascontiguousarray(q[:, g * self.per : (g + 1) * self.per]), place[i:j])
+            out[lo + order] = p
         return out
 
 
-def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of each row at one column."""
-    scores -= scores.max(1, keepdims=True)
-    own = scores[np.arange(len(at)), at].astype(float)
-    return own - np.log(np.exp(scores, out=scores).sum(1, dtype=float))
+def _log_share(h: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row of ``h @ q`` at one column."""
+    out, ones = np.empty(len(h)), np.ones(q.shape[1], np.float32)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(h), CACHED):
+            some, own = h[lo : lo + CACHED], at[lo : lo + CACHED]
+            scores = some @ q
+            mine = scores[np.arange(len(own)), own].astype(float)
+            total = (np.exp(scores, out=scores) @ ones).astype(float)
+            if not 1e-30 < total.min() <= total.max() < 1e37:  # past the range of 32-bit numbers unless less the greatest
+                scores = some.astype(float) @ q
+                top = scores.max(1)
+                mine, total = scores[np.arange(len(own)), own] - top, np.exp(scores - top[:, None]).sum(1)
+            out[lo : lo + CACHED] = mine - np.log(total)
+    return out
 
 
 def _rate(x: np.ndarray) -> np.ndarray:
-    """The logistic function of -x, in place; exponents stay in the range of 32-bit numbers."""
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
+    """The logistic function of -x, in place; 0 where the exponential is past the range of 32-bit numbers."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows and the sums of their values."""
-    order = np.argsort(rows.astype(np.int32))
-    r = rows[order]
-    last = np.flatnonzero(np.concatenate([r[1:] != r[:-1], [True]]))
-    sums = np.cumsum(values[order], axis=0, dtype=np.float64)[last]  # differences of running sums; much faster than by segments
-    sums[1:] -= sums[:-1].copy()
-    return r[last], sums.astype(np.float32)
+def _places(place: np.ndarray, n: int, *rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct rows of ``n``, in order, and where each row is among them; ``place`` is room for that."""
+    found = np.zeros(n, bool)
+    for x in rows:
+        found[x] = True
+    at = np.flatnonzero(found)
+    place[at] = np.arange(len(at))
+    return at, [place.take(x) for x in rows]
+
+
+def _sums(at: np.ndarray, columns: np.ndarray, n: int, times: np.ndarray | None = None) -> np.ndarray:
+    """The sums of ``columns`` (a row for each column of the result), each number ``times`` its row's, by place: ``n`` rows."""
+    out = np.empty((len(columns), n), np.float32)
+    for k, x in enumerate(columns):
+        out[k] = np.bincount(at, x if times is None else x * times, n)
+    return np.ascontiguousarray(out.T)
 
 
 def block_table(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -4,6 +4,7 @@ import glob
 import math
 import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -109,3 +110,85 @@ def test_a_round_leaves_no_shuffle_files(spark):
     left = [os.path.getsize(f) for f in shuffled() - before if os.path.exists(f)]
     assert sum(left) < 1000  # counting the blocks leaves a few bytes
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def plain_steps(net, batches, seed):
+    """Noise-contrastive steps as they read: each table of parameters sorted by row and summed by itself."""
+
+    def rate(x):
+        return 1 / (1 + np.exp(np.minimum(-x, 80)))
+
+    def by_row(rows, values):
+        order = np.argsort(rows.astype(np.int32))
+        r = rows[order]
+        last = np.flatnonzero(np.concatenate([r[1:] != r[:-1], [True]]))
+        sums = np.cumsum(values[order], axis=0, dtype=np.float64)[last]
+        sums[1:] -= sums[:-1].copy()
+        return r[last], sums.astype(np.float32)
+
+    rng = np.random.default_rng(seed)
+    r2, q2, c2, b2, gq2, gb2 = (np.full(p.shape, 1e-2, np.float32) for p in net.parameters())
+    levels = [(q, b, qs, bs, np.log(p * lm.NOISE).astype(np.float32), np.cumsum(p)) for q, b, qs, bs, p in ((net.q, net.b, q2, b2, net.noise), (net.gq, net.gb, gq2, gb2, net.group_noise))]
+    for own, one, two in batches:
+        for lo in range(0, len(own), lm.BATCH):
+            w, a, b = (x[lo : lo + lm.BATCH] for x in (own, one, two))
+            h, size, steps = net.r[a] @ net.c[0] + net.r[b] @ net.c[1], np.float32(math.sqrt(len(w))), []
+            gh = np.zeros_like(h)
+            for t, (q, bias, qs, bs, log_noise, pick) in zip((w, net.group[w]), levels, strict=True):
+                k = np.minimum(np.searchsorted(pick, rng.random(lm.NOISE) * pick[-1]), len(pick) - 1)
+                good = (1 - rate((h * q[t]).sum(1) + (bias[t] - log_noise[t]))) / np.float32(len(w))
+                bad = rate(h @ q[k].T + (bias[k] - log_noise[k])) / np.float32(len(w))
+                gh += good[:, None] * q[t] - bad @ q[k]
+                rows = np.concatenate([t, k])
+                steps.append((q, qs, rows, np.concatenate([good[:, None] * h, -(bad.T @ h)])))
+                steps.append((bias, bs, rows, np.concatenate([good, -bad.sum(0)])))
+            steps.append((net.r, r2, np.concatenate([a, b]), np.concatenate([gh @ net.c[0].T, gh @ net.c[1].T])))
+            g = np.stack([net.r[a].T @ gh, net.r[b].T @ gh]) * size
+            c2 += g * g
+            net.c += lm.RATE * 0.1 * g / np.sqrt(c2)
+            for p, s, rows, values in steps:
+                at, g = by_row(rows, values)
+                g *= size
+                s[at] += g * g
+                p[at] += lm.RATE * 0.1 * g / np.sqrt(s[at])
+
+
+def test_steps_are_the_plain_ones_in_less_time():
+    rng = np.random.default_rng(3)
+    noise = 1 / np.arange(1, 20_002) ** 0.9
+    noise /= noise.sum()
+    keys = np.sort(rng.integers(1, 1 << 63, 16_000).astype(np.uint64) * np.uint64(2))
+    at = np.minimum(np.searchsorted(np.cumsum(noise), rng.random(60_000)), len(noise) - 1)
+    doc = np.sort(rng.integers(0, 400, len(at)))
+    key = np.where(at < len(keys), keys[np.minimum(at, len(keys) - 1)], np.uint64(1) + at.astype(np.uint64) * np.uint64(2))
+    took, made = {True: [], False: []}, {}
+    for _ in range(3):
+        for plain in (True, False):
+            net = lm.Network(keys, noise)
+            batch = net.classes(doc, key)
+            began = time.perf_counter()
+            plain_steps(net, [batch], 5) if plain else net.train(iter([batch]), 5)
+            took[plain].append(time.perf_counter() - began)
+            made[plain] = net.flat()
+    assert np.abs(made[True] - made[False]).max() < 1e-4 and np.abs(made[True] - lm.Network(keys, noise).flat()).max() > 0.1
+    assert min(took[False]) < 0.8 * min(took[True])
+
+
+def test_words_are_found_where_keys_crowd():
+    rng = np.random.default_rng(4)
+    for keys in (np.arange(1, 50, dtype=np.uint64), rng.integers(1, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), np.array([3], np.uint64), np.zeros(0, np.uint64)):
+        keys = np.unique(keys)
+        net = lm.Network(keys, np.full(len(keys) + 5, 1 / (len(keys) + 5)))
+        ask = np.concatenate([keys, keys + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+        place = {int(k): i for i, k in enumerate(keys)}
+        assert net.classes(np.zeros(len(ask), int), ask)[0].tolist() == [place.get(int(k), len(keys) + int(k) % 4) for k in ask]
+
+
+def test_large_scores_are_normalised():
+    """Scores past the range of 32-bit exponentials."""
+    net = lm.Network(np.arange(1, 30, dtype=np.uint64), np.full(40, 1 / 40))
+    for far in (0, 300, -300):
+        net.gb[...], net.b[...] = far, far
+        net.b[::3] += 120
+        p = np.exp(net.log_p(np.arange(40), np.full(40, 3), np.full(40, 40)))
+        assert p.sum() == pytest.approx(1, abs=1e-5) and np.isfinite(net.log_p(np.arange(40), np.full(40, 3), np.full(40, 40))).all()
