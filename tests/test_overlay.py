@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerframe.operators import asof, overlay
+from ledgerframe.operators import asof, grouping, overlay
 from ledgerframe.streaming import live
 
 EVENTS = live.EVENTS
@@ -195,3 +195,25 @@ def test_bulk_lines_and_refreshed_counts(spark, tmp_path):
 
     kept = sinks.Refreshed(spark, str(tmp_path / "r"), compute, seconds=300)
     assert kept.read(1000.0).count() == 1 and kept.read(1200.0).count() == 1 and kept.read(1400.0).count() == 2 and len(calls) == 2
+
+
+def test_grouping_computes_actions_once(spark):
+    rng = random.Random(5)
+    schema = "tx long, d string, o int, c long, p int"
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice(["a", "b", None]), rng.choice([1, 2, 3, 4, None]), rng.choice([0, 1, 2, 3, 9, None]), p) for p in range(400)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    actions = spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(count, schema).withColumn("r", F.col("p") * 2)
+    got = grouping.group_notifications(actions, ["tx"], "d", "o", "c", "p", ["o"], ["r"]).select("tx", "d", "canonical", "first_position", "o", F.col("receipts.r").alias("rs"), "n_receipts").collect()
+    assert seen.value == len(rows)
+    last = {(t, o): d for t, d, o, _, _ in rows if t is not None and o is not None}
+    want = {}
+    for t, d, o, c, p in rows:
+        own = c is not None and c > 0 and d is not None and last.get((t, c)) == d
+        want.setdefault((t, d, c if own else o), []).append((p, o))
+    assert {(r.tx, r.d, r.canonical): (r.first_position, r.o, r.rs, r.n_receipts) for r in got} == {k: (x[0][0], x[0][1], [2 * p for p, _ in x], len(x)) for k, x in want.items()}
